@@ -1,0 +1,100 @@
+"""Wiring of the 20 relations, and the full rebuild (``build_all``).
+
+``build_models`` returns every relation as a lazy DataFrame (the dependency
+graph is just function composition).  ``build_all`` materialises it:
+
+* ``stg_events`` and ``stg_transactions`` are written once, because six and
+  three downstream models read them; each consumer then scans the written,
+  already deduplicated Parquet (with column pruning) instead of repeating the
+  dedupe shuffle.  Other staging and intermediate models stay lazy views.
+* the ten marts are written in dependency order; marts built on other marts
+  (customer metrics, product conversion, cohort retention) read the written
+  upstream table, which also cuts their lineage.
+"""
+
+from __future__ import annotations
+
+import os
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marketspark.plans import intermediate as I
+from marketspark.plans import marts as M
+from marketspark.plans import staging as S
+from marketspark.sources.sinks import materialise
+
+STAGING = ("stg_customers", "stg_campaigns", "stg_products", "stg_events", "stg_transactions")
+INTERMEDIATE = ("int_funnel_steps", "int_cart_activity", "int_customer_cohorts", "int_customer_orders",
+                "int_product_funnel")
+MARTS = ("dim_customers", "dim_products", "dim_campaigns", "fct_transactions", "fct_customer_metrics",
+         "fct_product_conversion", "fct_cohort_retention", "fct_traffic_conversion", "fct_traffic_monthly",
+         "fct_experiment_groups")
+
+
+def staging_models(raw: Mapping[str, DataFrame],
+                   tie_breaks: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+    tb = dict(tie_breaks or {})
+    return {
+        "stg_customers": S.stg_customers(raw["customers"]),
+        "stg_campaigns": S.stg_campaigns(raw["campaigns"]),
+        "stg_products": S.stg_products(raw["products"], tb.get("products", ())),
+        "stg_events": S.stg_events(raw["events"], tb.get("events", ())),
+        "stg_transactions": S.stg_transactions(raw["transactions"], tb.get("transactions", ())),
+    }
+
+
+def downstream_models(stg: Mapping[str, DataFrame], on_mart=None) -> dict[str, DataFrame]:
+    """Intermediate models and marts over the staging frames.
+
+    ``on_mart(name, df) -> df`` is called as each mart is defined, in
+    dependency order; ``build_all`` uses it to write the mart and continue
+    from the written table.
+    """
+    hook = on_mart or (lambda name, df: df)
+    m: dict[str, DataFrame] = dict(stg)
+    m["int_funnel_steps"] = I.int_funnel_steps(stg["stg_events"])
+    m["int_cart_activity"] = I.int_cart_activity(stg["stg_events"])
+    m["int_customer_cohorts"] = I.int_customer_cohorts(stg["stg_customers"])
+    m["int_customer_orders"] = I.int_customer_orders(stg["stg_transactions"])
+    m["int_product_funnel"] = I.int_product_funnel(m["int_funnel_steps"])
+
+    m["dim_customers"] = hook("dim_customers", M.dim_customers(stg["stg_customers"], m["int_customer_orders"]))
+    m["dim_products"] = hook("dim_products", M.dim_products(stg["stg_products"], m["int_product_funnel"]))
+    m["dim_campaigns"] = hook("dim_campaigns", M.dim_campaigns(stg["stg_campaigns"]))
+    m["fct_transactions"] = hook("fct_transactions", M.fct_transactions(stg["stg_transactions"]))
+    m["fct_customer_metrics"] = hook("fct_customer_metrics", M.fct_customer_metrics(m["dim_customers"]))
+    m["fct_product_conversion"] = hook(
+        "fct_product_conversion", M.fct_product_conversion(m["dim_products"], stg["stg_transactions"]))
+    m["fct_cohort_retention"] = hook(
+        "fct_cohort_retention", M.fct_cohort_retention(m["int_customer_cohorts"], m["fct_transactions"]))
+    m["fct_traffic_conversion"] = hook("fct_traffic_conversion", M.fct_traffic_conversion(stg["stg_events"]))
+    m["fct_traffic_monthly"] = hook("fct_traffic_monthly", M.fct_traffic_monthly(stg["stg_events"]))
+    m["fct_experiment_groups"] = hook("fct_experiment_groups", M.fct_experiment_groups(stg["stg_events"]))
+    return m
+
+
+def build_models(raw: Mapping[str, DataFrame],
+                 tie_breaks: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+    """All 20 relations as lazy DataFrames (nothing runs until an action)."""
+    return downstream_models(staging_models(raw, tie_breaks))
+
+
+def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str,
+              tie_breaks: Mapping[str, Sequence[str]] | None = None,
+              shared_staging: Sequence[str] = ("stg_events", "stg_transactions")) -> dict[str, DataFrame]:
+    """Full rebuild: write shared staging and all marts under ``root``.
+
+    ``root`` must be a folder every executor can reach (on a cluster, the
+    shared warehouse or checkpoint location, never a machine-local path).
+    Returns all 20 relations; marts and shared staging are scans of the
+    written Parquet tables.
+    """
+    stg = staging_models(raw, tie_breaks)
+    for name in shared_staging:
+        stg[name] = materialise(spark, stg[name], os.path.join(root, "staging"), name)
+
+    def write_mart(name: str, df: DataFrame) -> DataFrame:
+        return materialise(spark, df, os.path.join(root, "marts"), name)
+
+    return downstream_models(stg, on_mart=write_mart)

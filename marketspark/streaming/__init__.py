@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+Every model of the warehouse is a full batch rebuild over its inputs; there
+are no watermarks, event-time windows or stateful operators to express, so no
+Structured Streaming job is part of the build (see README, "Not built").
+"""
