@@ -369,21 +369,23 @@ def campaigns_filtered(frame: DataFrame, channel: Selection = None, objective: S
 
 def campaign_kpis(campaigns: DataFrame, transactions: DataFrame) -> DataFrame:
     """Campaign KPIs (refund rate counts partial refunds only: full ones are not in the facts)."""
-    n_tx = transactions.agg(F.count(F.lit(1))).scalar()
-    revenue = transactions.agg(_money_total("gross_revenue")).scalar()
-    refund_rate = transactions.agg(
-        pct_or_zero(F.sum(F.col("is_refunded").cast("int")), F.count(F.col("is_refunded")))
-    ).scalar()
+    # One pass over the transactions for all three figures: a single scalar
+    # subquery returning a struct, bound to one column and then unpacked.
+    tx = transactions.agg(F.struct(
+        _money_total("gross_revenue").alias("revenue"),
+        F.count(F.lit(1)).alias("n"),
+        pct_or_zero(F.sum(F.col("is_refunded").cast("int")), F.count(F.col("is_refunded"))).alias("refund_rate"),
+    )).scalar()
     return campaigns.agg(
         F.countDistinct("campaign_id").alias("total_campaigns"),
         F.countDistinct("channel").alias("total_channels"),
         (F.avg("expected_uplift") * F.lit(100.0)).alias("avg_expected_uplift"),
-    ).select(
+    ).select("*", tx.alias("__tx")).select(
         "total_campaigns", "total_channels",
-        revenue.alias("total_attributed_revenue"),
-        n_tx.alias("total_transactions"),
+        F.col("__tx.revenue").alias("total_attributed_revenue"),
+        F.col("__tx.n").alias("total_transactions"),
         round_half_away("avg_expected_uplift", 6).alias("avg_expected_uplift"),
-        refund_rate.alias("refund_rate"),
+        F.col("__tx.refund_rate").alias("refund_rate"),
     )
 
 

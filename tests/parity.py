@@ -52,6 +52,21 @@ def _norm(v):
     return v
 
 
+SPARK_TO_DUCK = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+    "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "smallint": "SMALLINT", "float": "FLOAT",
+}
+
+
+def type_mismatches(spark_df, rel) -> list[tuple[str, str, str]]:
+    duck = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    out = []
+    for name, st in spark_df.dtypes:
+        if name in duck and SPARK_TO_DUCK.get(st, st.upper()) != duck[name]:
+            out.append((name, st, duck[name]))
+    return out
+
+
 def _rows(records, cols):
     return sorted((tuple(_norm(r[c]) for c in cols) for r in records), key=lambda t: repr(t))
 
@@ -69,6 +84,10 @@ def compare(spark_df, con, sql: str) -> dict:
                                     f"oracle-only {sorted(set(dcols) - set(spark_cols))}")
         return out
     cols = sorted(spark_cols)
+    types = type_mismatches(spark_df, rel)
+    if types:
+        out.update(ok=False, reason=f"types differ (column, spark, duckdb): {types}")
+        return out
     a, b = _rows(srows, cols), _rows(drows, cols)
     if len(a) != len(b):
         out.update(ok=False, reason="row count differs")
