@@ -17,12 +17,36 @@ WAREHOUSE_CONF = {
     # All timestamps are zone-free (TIMESTAMP_NTZ); pin the zone anyway so
     # date/time casts of zoned input cannot shift between drivers.
     "spark.sql.session.timeZone": "UTC",
+    # AQE: re-plan joins from measured shuffle sizes (broadcast only what is
+    # measured small), coalesce small partitions, split skewed join partitions.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    # Static broadcast only under a measured/estimated size bound (the
+    # default); the campaign dimension and pre-aggregated sides fit, facts never.
+    "spark.sql.autoBroadcastJoinThreshold": "32m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
 }
 
 
+def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+                 max_partitions: int = 100_000) -> dict[str, str]:
+    """Shuffle sizing for a rebuild over ``input_bytes`` of raw data.
+
+    Starts with enough shuffle partitions for ~``target_partition_bytes`` per
+    reducer at the widest shuffle (the event dedupe moves about the whole
+    event table) and lets AQE coalesce the narrower ones; file splits stay at
+    the default 128 MB so scans get one task per split.
+    """
+    partitions = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    }
+
+
 def get_or_create_session(
     master: str | None = None,
     app_name: str = "marketspark",
