@@ -1,7 +1,7 @@
 """Wiring of the 20 relations, and the full rebuild (``build_all``).
 
 ``build_models`` returns every relation as a lazy DataFrame (the dependency
-graph is just function composition).  ``build_all`` materialises it:
+graph is just function composition, resolved on first access).  ``build_all`` materialises it:
 
 * ``stg_events`` and ``stg_transactions`` are written once, because six and
   three downstream models read them; each consumer then scans the written,
@@ -15,7 +15,7 @@ graph is just function composition).  ``build_all`` materialises it:
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,57 +27,93 @@ from marketspark.sources.sinks import materialise
 STAGING = ("stg_customers", "stg_campaigns", "stg_products", "stg_events", "stg_transactions")
 INTERMEDIATE = ("int_funnel_steps", "int_cart_activity", "int_customer_cohorts", "int_customer_orders",
                 "int_product_funnel")
+Builder = Callable[[Mapping[str, DataFrame]], DataFrame]
+
 MARTS = ("dim_customers", "dim_products", "dim_campaigns", "fct_transactions", "fct_customer_metrics",
          "fct_product_conversion", "fct_cohort_retention", "fct_traffic_conversion", "fct_traffic_monthly",
          "fct_experiment_groups")
 
 
-def staging_models(raw: Mapping[str, DataFrame],
-                   tie_breaks: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+class Relations(Mapping[str, DataFrame]):
+    """The relation graph, built on first access and memoised.
+
+    ``builders`` maps a name to ``fn(relations) -> DataFrame``; a builder reads
+    its inputs through the mapping, so asking for one mart analyses only its
+    upstream models.  ``on_mart(name, df) -> df`` wraps each mart as it is
+    built (``build_all`` writes it and continues from the written table).
+    """
+
+    def __init__(self, builders: Mapping[str, Callable[[Mapping[str, DataFrame]], DataFrame]],
+                 on_mart: Callable[[str, DataFrame], DataFrame] | None = None):
+        self._builders = dict(builders)
+        self._on_mart = on_mart
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            df = self._builders[name](self)
+            if self._on_mart is not None and name in MARTS:
+                df = self._on_mart(name, df)
+            self._built[name] = df
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def staging_builders(raw: Mapping[str, DataFrame],
+                     tie_breaks: Mapping[str, Sequence[str]] | None = None) -> dict[str, Builder]:
     tb = dict(tie_breaks or {})
     return {
-        "stg_customers": S.stg_customers(raw["customers"]),
-        "stg_campaigns": S.stg_campaigns(raw["campaigns"]),
-        "stg_products": S.stg_products(raw["products"], tb.get("products", ())),
-        "stg_events": S.stg_events(raw["events"], tb.get("events", ())),
-        "stg_transactions": S.stg_transactions(raw["transactions"], tb.get("transactions", ())),
+        "stg_customers": lambda m: S.stg_customers(raw["customers"]),
+        "stg_campaigns": lambda m: S.stg_campaigns(raw["campaigns"]),
+        "stg_products": lambda m: S.stg_products(raw["products"], tb.get("products", ())),
+        "stg_events": lambda m: S.stg_events(raw["events"], tb.get("events", ())),
+        "stg_transactions": lambda m: S.stg_transactions(raw["transactions"], tb.get("transactions", ())),
     }
 
 
-def downstream_models(stg: Mapping[str, DataFrame], on_mart=None) -> dict[str, DataFrame]:
-    """Intermediate models and marts over the staging frames.
+# Intermediate models and marts, each as a function of the relation mapping.
+DOWNSTREAM: dict[str, Builder] = {
+    "int_funnel_steps": lambda m: I.int_funnel_steps(m["stg_events"]),
+    "int_cart_activity": lambda m: I.int_cart_activity(m["stg_events"]),
+    "int_customer_cohorts": lambda m: I.int_customer_cohorts(m["stg_customers"]),
+    "int_customer_orders": lambda m: I.int_customer_orders(m["stg_transactions"]),
+    "int_product_funnel": lambda m: I.int_product_funnel(m["int_funnel_steps"]),
+    "dim_customers": lambda m: M.dim_customers(m["stg_customers"], m["int_customer_orders"]),
+    "dim_products": lambda m: M.dim_products(m["stg_products"], m["int_product_funnel"]),
+    "dim_campaigns": lambda m: M.dim_campaigns(m["stg_campaigns"]),
+    "fct_transactions": lambda m: M.fct_transactions(m["stg_transactions"]),
+    "fct_customer_metrics": lambda m: M.fct_customer_metrics(m["dim_customers"]),
+    "fct_product_conversion": lambda m: M.fct_product_conversion(m["dim_products"], m["stg_transactions"]),
+    "fct_cohort_retention": lambda m: M.fct_cohort_retention(m["int_customer_cohorts"], m["fct_transactions"]),
+    "fct_traffic_conversion": lambda m: M.fct_traffic_conversion(m["stg_events"]),
+    "fct_traffic_monthly": lambda m: M.fct_traffic_monthly(m["stg_events"]),
+    "fct_experiment_groups": lambda m: M.fct_experiment_groups(m["stg_events"]),
+}
 
-    ``on_mart(name, df) -> df`` is called as each mart is defined, in
-    dependency order; ``build_all`` uses it to write the mart and continue
-    from the written table.
-    """
-    hook = on_mart or (lambda name, df: df)
-    m: dict[str, DataFrame] = dict(stg)
-    m["int_funnel_steps"] = I.int_funnel_steps(stg["stg_events"])
-    m["int_cart_activity"] = I.int_cart_activity(stg["stg_events"])
-    m["int_customer_cohorts"] = I.int_customer_cohorts(stg["stg_customers"])
-    m["int_customer_orders"] = I.int_customer_orders(stg["stg_transactions"])
-    m["int_product_funnel"] = I.int_product_funnel(m["int_funnel_steps"])
-
-    m["dim_customers"] = hook("dim_customers", M.dim_customers(stg["stg_customers"], m["int_customer_orders"]))
-    m["dim_products"] = hook("dim_products", M.dim_products(stg["stg_products"], m["int_product_funnel"]))
-    m["dim_campaigns"] = hook("dim_campaigns", M.dim_campaigns(stg["stg_campaigns"]))
-    m["fct_transactions"] = hook("fct_transactions", M.fct_transactions(stg["stg_transactions"]))
-    m["fct_customer_metrics"] = hook("fct_customer_metrics", M.fct_customer_metrics(m["dim_customers"]))
-    m["fct_product_conversion"] = hook(
-        "fct_product_conversion", M.fct_product_conversion(m["dim_products"], stg["stg_transactions"]))
-    m["fct_cohort_retention"] = hook(
-        "fct_cohort_retention", M.fct_cohort_retention(m["int_customer_cohorts"], m["fct_transactions"]))
-    m["fct_traffic_conversion"] = hook("fct_traffic_conversion", M.fct_traffic_conversion(stg["stg_events"]))
-    m["fct_traffic_monthly"] = hook("fct_traffic_monthly", M.fct_traffic_monthly(stg["stg_events"]))
-    m["fct_experiment_groups"] = hook("fct_experiment_groups", M.fct_experiment_groups(stg["stg_events"]))
-    return m
+
+def staging_models(raw: Mapping[str, DataFrame],
+                   tie_breaks: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
+    """The five staging relations (lazy)."""
+    stg = Relations(staging_builders(raw, tie_breaks))
+    return {n: stg[n] for n in STAGING}
+
+
+def downstream_models(stg: Mapping[str, DataFrame],
+                      on_mart: Callable[[str, DataFrame], DataFrame] | None = None) -> Relations:
+    """Intermediate models and marts over the given staging frames."""
+    fixed = {n: (lambda m, df=df: df) for n, df in stg.items()}
+    return Relations({**fixed, **DOWNSTREAM}, on_mart)
 
 
 def build_models(raw: Mapping[str, DataFrame],
-                 tie_breaks: Mapping[str, Sequence[str]] | None = None) -> dict[str, DataFrame]:
-    """All 20 relations as lazy DataFrames (nothing runs until an action)."""
-    return downstream_models(staging_models(raw, tie_breaks))
+                 tie_breaks: Mapping[str, Sequence[str]] | None = None) -> Relations:
+    """All 20 relations, built lazily on access (nothing runs until an action)."""
+    return Relations({**staging_builders(raw, tie_breaks), **DOWNSTREAM})
 
 
 def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str,
@@ -97,4 +133,7 @@ def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str,
     def write_mart(name: str, df: DataFrame) -> DataFrame:
         return materialise(spark, df, os.path.join(root, "marts"), name)
 
-    return downstream_models(stg, on_mart=write_mart)
+    models = downstream_models(stg, on_mart=write_mart)
+    for name in MARTS:  # dependency order
+        models[name]
+    return {n: models[n] for n in models}
