@@ -36,12 +36,14 @@ def dim_customers(stg_customers: DataFrame, int_customer_orders: DataFrame) -> D
     ``cohort_month`` is derived from the customer's own signup date instead of
     re-joining the cohort model on customer_id: same result while customer_id
     is unique (checked by the data tests), and no pairwise blow-up otherwise.
+    A NULL customer_id never matches that join, so its cohort stays NULL.
     """
     orders = int_customer_orders.withColumn("__matched", F.lit(1))
     j = stg_customers.join(orders, "customer_id", "left")
+    cohort = F.when(F.col("customer_id").isNotNull(), month_start("signup_date"))
     return j.select(
         "customer_id", "age", "gender", "country", "loyalty_tier", "acquisition_channel", "signup_date",
-        month_start("signup_date").alias("cohort_month"),
+        cohort.alias("cohort_month"),
         *ORDER_METRICS,
         F.when(F.col("__matched").isNotNull(), F.lit(1)).otherwise(F.lit(0)).alias("has_purchased"),
     )

@@ -8,5 +8,6 @@ from marketspark.sources.sinks import (  # noqa: F401
     read_table,
     register_views,
     run_sql,
+    save_as_table,
     write_table,
 )

@@ -32,6 +32,24 @@ def materialise(spark: SparkSession, df: DataFrame, root: str, name: str,
     return read_table(spark, path)
 
 
+def save_as_table(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = (),
+                  bucket_by: tuple[int, str] | None = None) -> DataFrame:
+    """Materialise ``df`` as a catalog table (Parquet, overwrite) and return a scan of it.
+
+    ``bucket_by=(n, key)`` buckets and sorts the table on ``key``, so later
+    joins and aggregations on that key between tables bucketed the same way
+    read co-partitioned data without a shuffle.
+    """
+    w = df.write.mode("overwrite").format("parquet")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if bucket_by:
+        n, key = bucket_by
+        w = w.bucketBy(n, key).sortBy(key)
+    w.saveAsTable(name)
+    return spark.table(name)
+
+
 def register_views(frames: dict[str, DataFrame]) -> None:
     """Expose frames to SQL users as temporary views (lazy, like view models)."""
     for name, df in frames.items():

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from marketspark.session import get_or_create_session
 
-    s = get_or_create_session("local[*]", app_name="marketspark-tests", shuffle_partitions=8)
+    warehouse = tempfile.mkdtemp(prefix="marketspark-warehouse-")
+    s = get_or_create_session("local[*]", app_name="marketspark-tests", shuffle_partitions=8,
+                              extra_conf={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 

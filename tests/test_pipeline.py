@@ -54,3 +54,32 @@ def test_invariants(lazy_models):
     assert conv.agg(F.sum("event_count")).first()[0] == m["stg_events"].count()
     monthly = m["fct_traffic_monthly"].agg(F.sum("event_count")).first()[0]
     assert monthly == m["stg_events"].count()
+
+
+def test_sql_views_over_marts(spark, lazy_models):
+    """Marts registered as views answer the page's own SQL (ad-hoc, read-only)."""
+    from marketspark.plans import reports as R
+    from marketspark.sources import register_views, run_sql
+
+    register_views({n: lazy_models[n] for n in ("fct_transactions", "dim_campaigns", "dim_customers")})
+    sql = run_sql(spark, """
+        SELECT t.campaign_id, t.gross_revenue, t.is_refunded, c.channel, c.objective, c.target_segment,
+               c.expected_uplift
+        FROM fct_transactions t LEFT JOIN dim_campaigns c ON t.campaign_id = c.campaign_id
+        WHERE t.campaign_id IS NOT NULL AND t.gross_revenue > 0""")
+    api = R.campaign_transactions(lazy_models["fct_transactions"], lazy_models["dim_campaigns"])
+    assert same_rows(sql, api.select(*sql.columns))
+    kpi = run_sql(spark, "SELECT COUNT(DISTINCT customer_id) AS n FROM dim_customers").first().n
+    assert kpi == R.kpi_overview(lazy_models["dim_customers"]).first().total_customers
+
+
+def test_catalog_table_bucketed(spark, lazy_models):
+    from marketspark.sources import save_as_table
+
+    spark.conf.set("spark.sql.sources.bucketing.enabled", "true")
+    t = save_as_table(spark, lazy_models["fct_transactions"], "fct_transactions_bucketed",
+                      bucket_by=(4, "customer_id"))
+    assert same_rows(t, lazy_models["fct_transactions"])
+    plan = t.groupBy("customer_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # bucketed on the grouping key: no shuffle
+    spark.sql("DROP TABLE fct_transactions_bucketed")
