@@ -201,8 +201,16 @@ def traffic_filtered(traffic: DataFrame, traffic_source: Selection = None) -> Da
     return isin_filters(traffic, traffic_source=traffic_source)
 
 
-def unique_event_customers(stg_events: DataFrame) -> DataFrame:
-    """Distinct customers with any event (ignores the source filter)."""
+def unique_event_customers(stg_events: DataFrame, approx_rsd: float | None = None) -> DataFrame:
+    """Distinct customers with any event (ignores the source filter).
+
+    Exact by default (partial distinct per task, then one shuffle on the
+    customer key).  ``approx_rsd`` switches to a HyperLogLog++ sketch with
+    that relative standard deviation: fixed-size partial state per task and
+    no shuffle of customer keys, for dashboards over very large event tables.
+    """
+    if approx_rsd is not None:
+        return stg_events.agg(F.approx_count_distinct("customer_id", approx_rsd).alias("unique_customers"))
     return stg_events.agg(F.countDistinct("customer_id").alias("unique_customers"))
 
 

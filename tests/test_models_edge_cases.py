@@ -265,3 +265,10 @@ def test_empty_inputs_build(raw_frames, n):
     assert m["fct_cohort_retention"].count() == 0
     assert m["fct_experiment_groups"].count() == 0
     assert R.kpi_overview(m["dim_customers"]).first().total_customers == 0
+
+
+def test_unique_event_customers_exact_and_approx(spark):
+    ev = spark.range(0, 20000).selectExpr("id % 5000 AS customer_id")
+    assert R.unique_event_customers(ev).first().unique_customers == 5000
+    approx = R.unique_event_customers(ev, approx_rsd=0.02).first().unique_customers
+    assert abs(approx - 5000) / 5000 < 0.08
