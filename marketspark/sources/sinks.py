@@ -29,7 +29,10 @@ def materialise(spark: SparkSession, df: DataFrame, root: str, name: str,
     """
     path = os.path.join(root, name)
     write_table(df, path, partition_by)
-    return read_table(spark, path)
+    if partition_by:
+        return read_table(spark, path)
+    # The schema is known: no footer read to infer it again.
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def save_as_table(spark: SparkSession, df: DataFrame, name: str, partition_by: tuple[str, ...] = (),
