@@ -170,8 +170,9 @@ def acquisition_mix(customers: DataFrame) -> DataFrame:
     """Customers per acquisition channel and their share of all counted customers (%)."""
     src = customers.where(F.col("acquisition_channel").isNotNull())
     g = src.groupBy("acquisition_channel").agg(F.count(F.lit(1)).alias("customers"))
-    # The total is a scalar subquery: a one-value global count, no join or global window.
-    total = src.agg(F.count(F.lit(1))).scalar()
+    # The total is a scalar subquery over the grouped rows (one value, no join or
+    # global window); it shares the grouping's shuffle instead of rescanning.
+    total = g.agg(F.sum("customers")).scalar()
     return g.withColumn("share_pct", share_pct("customers", total))
 
 
