@@ -27,7 +27,7 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-from marketspark.plans.pipeline import MARTS, downstream_models, staging_models  # noqa: E402
+from marketspark.plans.warehouse import MARTS, downstream_models, staging_models  # noqa: E402
 from marketspark.plans.registry import QUALITY, REPORTS  # noqa: E402
 from marketspark.session import get_or_create_session, scratch_root  # noqa: E402
 from marketspark.sources import materialise, raw_from_driver  # noqa: E402

@@ -1 +1 @@
-"""Model layers: staging, intermediate, marts, reports, quality, pipeline."""
+"""Model layers: staging, intermediate, marts, reports, quality, warehouse (build_all)."""

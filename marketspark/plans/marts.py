@@ -1,6 +1,6 @@
 """Mart models (M1-M10): dimension and fact tables.
 
-Each function is lazy; ``plans.pipeline.build_all`` writes them as Parquet in
+Each function is lazy; ``plans.warehouse.build_all`` writes them as Parquet in
 dependency order and feeds the written tables to downstream marts.
 """
 

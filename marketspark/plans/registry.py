@@ -8,13 +8,13 @@ acts).  Reports with multi-select filters run unfiltered, except the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from marketspark.plans import quality as Q
 from marketspark.plans import reports as R
-from marketspark.plans.pipeline import INTERMEDIATE, MARTS, STAGING, build_models
+from marketspark.plans.warehouse import INTERMEDIATE, MARTS, STAGING, build_models
 from marketspark.sources.fixtures import TRANSACTION_TIE_BREAK, raw_from_driver
 
 # Fixed selections for the filtered report queries (the same lists are used in
@@ -36,7 +36,7 @@ CAMPAIGN_SELECTION = {
 # Month offsets of the cohort matrix columns (M0 .. M82).
 COHORT_MONTHS = tuple(range(0, 83))
 
-Models = dict[str, DataFrame]
+Models = Mapping[str, DataFrame]
 
 
 def models_for(spark: SparkSession, sf_dir: str) -> Models:

@@ -10,7 +10,7 @@ from marketspark.plans import marts as M
 from marketspark.plans import quality as Q
 from marketspark.plans import reports as R
 from marketspark.plans import staging as S
-from marketspark.plans.pipeline import build_models
+from marketspark.plans.warehouse import build_models
 
 T0 = dt.datetime(2021, 3, 10, 12, 0)
 

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from marketspark.plans import reports as R
-from marketspark.plans.pipeline import build_all
+from marketspark.plans.warehouse import build_all
 from marketspark.sources import raw_from_driver, read_raw
 from marketspark.sources.fixtures import TRANSACTION_TIE_BREAK
 

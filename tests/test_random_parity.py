@@ -19,7 +19,7 @@ import pytest
 from pyspark.sql import types as T
 
 from duckdb_oracle import CTES, REPORT_SQL, compose
-from marketspark.plans.pipeline import INTERMEDIATE, MARTS, STAGING, build_models
+from marketspark.plans.warehouse import INTERMEDIATE, MARTS, STAGING, build_models
 from marketspark.plans.registry import QUALITY, REPORTS
 from marketspark.sources.raw import conform_raw
 from marketspark.sources.schemas import RAW_COLUMNS

@@ -6,7 +6,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from marketspark.plans.pipeline import MARTS, build_all, build_models
+from marketspark.plans.warehouse import MARTS, build_all, build_models
 from marketspark.sources import raw_from_driver, read_raw
 from marketspark.sources.fixtures import TRANSACTION_TIE_BREAK
 from marketspark.sources.schemas import RAW_TABLES
