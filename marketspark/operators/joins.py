@@ -31,9 +31,26 @@ def left_join_match_flag(
     counts = (right.select(*keys).where(
         F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
         .groupBy(*keys).agg(F.count(F.lit(1)).alias(_MATCHES)))
-    joined = left.join(counts, list(keys), "left")
-    copies = F.array_repeat(F.lit(1), F.coalesce(F.col(_MATCHES), F.lit(1)).cast("int"))
-    return (joined
-            .withColumn(flag, F.when(F.col(_MATCHES).isNotNull(), F.lit(1)).otherwise(F.lit(0)))
-            .withColumn("__copy", F.explode(copies))
-            .drop("__copy", _MATCHES))
+    joined = left.join(counts, list(keys), "left") \
+        .withColumn(flag, F.when(F.col(_MATCHES).isNotNull(), F.lit(1)).otherwise(F.lit(0))) \
+        .withColumn(_MATCHES, F.coalesce(F.col(_MATCHES), F.lit(1)))
+    return _repeat_rows(joined, _MATCHES).drop(_MATCHES)
+
+
+_CHUNK = 4096
+
+
+def _repeat_rows(df: DataFrame, times: str) -> DataFrame:
+    """Emit each row ``times`` times, with bounded memory per row.
+
+    Copies are generated in two levels: ``ceil(n / _CHUNK)`` chunk rows, each
+    expanded to at most ``_CHUNK`` copies, and ``explode`` streams them.  The
+    largest array built for a row is ``n / _CHUNK`` entries instead of ``n``,
+    so a key matched by millions of rows never builds a millions-long array.
+    """
+    n = F.col(times).cast("long")
+    chunks = F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / _CHUNK).cast("long"))
+    with_chunk = df.withColumn("__chunk", F.explode(chunks))
+    in_chunk = F.least(F.lit(_CHUNK).cast("long"), n - F.col("__chunk") * _CHUNK).cast("int")
+    return with_chunk.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), in_chunk))) \
+        .drop("__chunk", "__copy")

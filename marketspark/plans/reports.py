@@ -284,9 +284,10 @@ def experiment_lift(fct_experiment_groups: DataFrame, control: str = "control")
     """
     control_rate = fct_experiment_groups.where(F.col("experiment_group") == control) \
         .select("purchase_rate").scalar()
-    return fct_experiment_groups.select(
-        "experiment_group", "purchase_rate", control_rate.alias("control_purchase_rate"),
-        round_half_away(F.col("purchase_rate") - control_rate, 2).alias("lift_pp"))
+    with_control = fct_experiment_groups.select(
+        "experiment_group", "purchase_rate", control_rate.alias("control_purchase_rate"))
+    return with_control.withColumn(
+        "lift_pp", round_half_away(F.col("purchase_rate") - F.col("control_purchase_rate"), 2))
 
 
 def experiment_rates_long(fct_experiment_groups: DataFrame) -> DataFrame:

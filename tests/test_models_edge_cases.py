@@ -272,3 +272,13 @@ def test_unique_event_customers_exact_and_approx(spark):
     assert R.unique_event_customers(ev).first().unique_customers == 5000
     approx = R.unique_event_customers(ev, approx_rsd=0.02).first().unique_customers
     assert abs(approx - 5000) / 5000 < 0.08
+
+
+def test_match_flag_join_large_fan_out_in_chunks(spark):
+    from marketspark.operators import left_join_match_flag
+
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, v string")
+    right = spark.range(0, 10000).selectExpr("CASE WHEN id < 9000 THEN 1 ELSE 2 END AS k")
+    out = left_join_match_flag(left, right, ["k"], "hit")
+    got = {(r.k, r.hit): r.n for r in out.groupBy("k", "hit").count().withColumnRenamed("count", "n").collect()}
+    assert got == {(1, 1): 9000, (2, 1): 1000, (3, 0): 1}
