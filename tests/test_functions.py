@@ -31,6 +31,9 @@ def test_refund_flag(spark):
     assert one(spark, MF.to_bool_flag(F.lit(0))) is False
     assert one(spark, MF.to_bool_flag(F.lit(None).cast("int"))) is False
     assert one(spark, MF.to_bool_flag(F.lit(2))) is False
+    assert one(spark, MF.to_bool_flag(F.lit("True"))) is True
+    assert one(spark, MF.to_bool_flag(F.lit("false"))) is False
+    assert one(spark, MF.to_bool_flag(F.lit("1.0"))) is True
 
 
 def test_month_diff_counts_boundaries(spark):
