@@ -132,3 +132,35 @@ def test_the_measure_detects_a_naive_plan(skewed_transactions):
     """Control: shuffling raw rows by the hot key does put a third on one reducer."""
     naive = skewed_transactions.repartition(8, "customer_id").select("customer_id", "gross_revenue")
     assert max_share(shuffle_stats(naive)) > 0.3
+
+
+def test_hot_campaign_left_join_is_split_by_aqe(spark, skewed_transactions):
+    """Without a broadcast, the hot campaign's fact partition is split across tasks."""
+    from marketspark.plans import reports as R
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        # Keep several map outputs: a skewed partition splits at map boundaries.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        tx = skewed_transactions.withColumn("transaction_id", F.monotonically_increasing_id()) \
+            .withColumn("campaign_id", F.when(F.col("customer_id") == 1, F.lit(1)).otherwise(F.col("campaign_id")))
+        facts = M.fct_transactions(S.stg_transactions(tx))
+        dims = M.dim_campaigns(S.stg_campaigns(conform_raw("campaigns", spark.range(1, 6).select(
+            F.col("id").alias("campaign_id"), F.lit("email").alias("channel")))))
+        ct = R.campaign_transactions(facts, dims)
+        plan = ct._jdf.queryExecution().executedPlan()
+        plan.execute().count()
+        assert "skew=true" in plan.toString()
+        assert ct.where("campaign_id = 1").count() == facts.where("campaign_id = 1").count() >= N // 3
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
