@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from marketspark.plans import intermediate as I
@@ -137,3 +138,23 @@ def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str,
     for name in MARTS:  # dependency order
         models[name]
     return {n: models[n] for n in models}
+
+
+def cache_marts(models: Mapping[str, DataFrame], names: Sequence[str] = MARTS,
+                storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> dict[str, DataFrame]:
+    """Keep loaded marts in executor memory for repeated report queries.
+
+    The report pages reuse one loaded mart for many charts; persisting the
+    written mart scans does the same on the cluster.  A lost cached block is
+    rebuilt from its Parquet files, so executor loss costs a re-read only.
+    Call ``release_marts`` when the reports are done.
+    """
+    out = dict(models)
+    for name in names:
+        out[name] = models[name].persist(storage)
+    return out
+
+
+def release_marts(models: Mapping[str, DataFrame], names: Sequence[str] = MARTS) -> None:
+    for name in names:
+        models[name].unpersist()

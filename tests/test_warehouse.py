@@ -83,3 +83,15 @@ def test_catalog_table_bucketed(spark, lazy_models):
     plan = t.groupBy("customer_id").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan  # bucketed on the grouping key: no shuffle
     spark.sql("DROP TABLE fct_transactions_bucketed")
+
+
+def test_cached_marts_serve_reports(spark, lazy_models):
+    from marketspark.plans import reports as R
+    from marketspark.plans.warehouse import cache_marts, release_marts
+
+    cached = cache_marts(lazy_models, ["fct_product_conversion"])
+    assert cached["fct_product_conversion"].storageLevel.useMemory
+    a = R.revenue_by_category(cached["fct_product_conversion"])
+    b = R.revenue_by_category(lazy_models["fct_product_conversion"])
+    assert same_rows(a, b)
+    release_marts(cached, ["fct_product_conversion"])
