@@ -17,13 +17,20 @@ from pyspark.sql import functions as F
 _ROW_NUM = "__row_num"
 
 
-def dedupe_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
+def dedupe_first(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
+                 total_order: bool = True) -> DataFrame:
     """Keep the first row per ``keys`` under ``order_by``.
 
     Callers pass explicit null ordering (the warehouse SQL sorts NULL last in
-    ascending order, Spark's default is NULL first).  Rows tied on every
-    ``order_by`` column are broken arbitrarily, as in the SQL; pass tie-break
-    columns to make the choice deterministic.
+    ascending order, Spark's default is NULL first) and any tie-break columns
+    the result must follow.  With ``total_order`` every remaining column is
+    appended as a last tie-break, so rows tied on ``order_by`` are resolved the
+    same way on every run: a task retried after an executor loss (whose
+    shuffle input can arrive in a different order) keeps the same row.  Those
+    keys are only compared on ties, so the cost is negligible.
     """
-    w = Window.partitionBy(*keys).orderBy(*order_by)
+    order = list(order_by)
+    if total_order:
+        order += [F.col(c).asc_nulls_last() for c in df.columns if c not in keys]
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(_ROW_NUM, F.row_number().over(w)).where(F.col(_ROW_NUM) == 1).drop(_ROW_NUM)
