@@ -3,11 +3,12 @@
 Every query is one self-contained statement over the driver tables (region,
 nation, customer, supplier, part, orders, lineitem, events, ... registered as
 views): the raw-table derivation, the staging / intermediate / mart models
-and the report are leading CTEs.  The model bodies follow the warehouse SQL
-in its direct form (self-join for source totals, LEFT JOIN + HAVING with
-COUNT(DISTINCT) for cohorts, MAX(CASE) pivot for the funnel, plain LEFT JOIN
-for cart activity, cohort re-join for customers), so they check the Spark
-rewrites rather than repeat them.
+and the report are leading CTEs.  The models are written as plain DuckDB SQL
+in their most direct set form (QUALIFY for the dedupe, FILTER aggregates,
+COUNT(DISTINCT) over the joined rows for cohorts, a window over grouped rows
+for source totals, a plain LEFT JOIN for cart activity), independent of the
+Spark plans they check (single-pass aggregates, pre-aggregated joins,
+chunked fan-out).
 
 Shared conventions with the Spark side: money sums and averages in exact
 cents, ratios as DOUBLE, counts as BIGINT, months as DATE.
