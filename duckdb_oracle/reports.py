@@ -10,6 +10,7 @@ from duckdb_oracle.selections import (
     PRODUCT_SELECTION,
     TRAFFIC_SELECTION,
 )
+from marketspark.plans.quality import ACCEPTED_VALUES, NOT_NULL, RELATIONSHIPS, UNIQUE
 
 REPORT_SQL: dict[str, tuple[list[str], str]] = {}
 
@@ -287,28 +288,10 @@ WHERE c.expected_uplift IS NOT NULL
 
 # -------------------------------------------------------------------- data tests
 
-_NOT_NULL = {
-    "stg_customers": ("customer_id", "loyalty_tier", "acquisition_channel"),
-    "stg_campaigns": ("campaign_id",),
-    "stg_products": ("product_id",),
-    "stg_events": ("event_id", "session_id"),
-    "stg_transactions": ("transaction_id",),
-    "dim_customers": ("customer_id",),
-    "dim_products": ("product_id",),
-    "dim_campaigns": ("campaign_id",),
-    "fct_transactions": ("transaction_id", "customer_id", "product_id"),
-    "fct_customer_metrics": ("customer_id",),
-    "fct_product_conversion": ("product_id",),
-    "fct_cohort_retention": ("cohort_month",),
-    "fct_traffic_conversion": ("traffic_source", "event_type"),
-    "fct_traffic_monthly": ("traffic_source", "event_month"),
-    "fct_experiment_groups": ("experiment_group", "purchase_rate"),
-}
-_UNIQUE = (("stg_customers", "customer_id"), ("stg_campaigns", "campaign_id"), ("stg_products", "product_id"),
-           ("stg_events", "event_id"), ("stg_transactions", "transaction_id"), ("dim_customers", "customer_id"),
-           ("dim_products", "product_id"), ("dim_campaigns", "campaign_id"),
-           ("fct_transactions", "transaction_id"), ("fct_customer_metrics", "customer_id"),
-           ("fct_product_conversion", "product_id"), ("fct_experiment_groups", "experiment_group"))
+_NOT_NULL = NOT_NULL
+_UNIQUE = tuple(UNIQUE.items())
+(_AV_MODEL, _AV_COLUMN), _AV_VALUES = next(iter(ACCEPTED_VALUES.items()))
+(_REL_MODEL, _REL_COLUMN), (_REL_PARENT, _REL_FIELD) = next(iter(RELATIONSHIPS.items()))
 
 _nn = " UNION ALL ".join(
     f"SELECT 'not_null' AS test, '{m}' AS model, '{c}' AS column_name, "
@@ -318,12 +301,12 @@ _un = " UNION ALL ".join(
     f"SELECT 'unique' AS test, '{m}' AS model, '{c}' AS column_name, CAST((SELECT COUNT(*) FROM "
     f"(SELECT {c} FROM {m} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1)) AS BIGINT) AS failures"
     for m, c in _UNIQUE)
-_av = ("SELECT 'accepted_values' AS test, 'stg_events' AS model, 'event_type' AS column_name, "
-       "CAST((SELECT COUNT(DISTINCT event_type) FROM stg_events WHERE event_type IS NOT NULL AND event_type NOT IN "
-       "('browse', 'click', 'add_to_cart', 'purchase', 'view', 'bounce')) AS BIGINT) AS failures")
-_rel = ("SELECT 'relationships' AS test, 'fct_transactions' AS model, 'customer_id' AS column_name, "
-        "CAST((SELECT COUNT(*) FROM fct_transactions t WHERE t.customer_id IS NOT NULL AND NOT EXISTS "
-        "(SELECT 1 FROM dim_customers d WHERE d.customer_id = t.customer_id)) AS BIGINT) AS failures")
+_av = (f"SELECT 'accepted_values' AS test, '{_AV_MODEL}' AS model, '{_AV_COLUMN}' AS column_name, "
+       f"CAST((SELECT COUNT(DISTINCT {_AV_COLUMN}) FROM {_AV_MODEL} WHERE {_AV_COLUMN} IS NOT NULL AND "
+       f"{_in(_AV_COLUMN, _AV_VALUES).replace(' IN (', ' NOT IN (')}) AS BIGINT) AS failures")
+_rel = (f"SELECT 'relationships' AS test, '{_REL_MODEL}' AS model, '{_REL_COLUMN}' AS column_name, "
+        f"CAST((SELECT COUNT(*) FROM {_REL_MODEL} t WHERE t.{_REL_COLUMN} IS NOT NULL AND NOT EXISTS "
+        f"(SELECT 1 FROM {_REL_PARENT} d WHERE d.{_REL_FIELD} = t.{_REL_COLUMN})) AS BIGINT) AS failures")
 
 report("dq_not_null", _nn)
 report("dq_unique", _un)

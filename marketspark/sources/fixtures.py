@@ -16,7 +16,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 from marketspark.sources.raw import conform_raw
 
 DRIVER_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
