@@ -8,6 +8,8 @@ acts).  Reports with multi-select filters run unfiltered, except the
 
 from __future__ import annotations
 
+import os
+import weakref
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +41,19 @@ COHORT_MONTHS = tuple(range(0, 83))
 Models = Mapping[str, DataFrame]
 
 
+# Relation graphs already built, per session and data folder.  DataFrames are
+# immutable lazy plans, so queries over the same tables share their upstream
+# definitions instead of re-analysing them; weak keys drop a stopped session's.
+_GRAPHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def models_for(spark: SparkSession, sf_dir: str) -> Models:
-    """All 20 relations over the driver tables in ``sf_dir`` (lazy)."""
-    raw = raw_from_driver(spark, sf_dir)
-    return build_models(raw, {"transactions": TRANSACTION_TIE_BREAK})
+    """All 20 relations over the driver tables in ``sf_dir`` (lazy, built on access)."""
+    per_session = _GRAPHS.setdefault(spark, {})
+    key = os.path.abspath(sf_dir)
+    if key not in per_session:
+        per_session[key] = build_models(raw_from_driver(spark, sf_dir), {"transactions": TRANSACTION_TIE_BREAK})
+    return per_session[key]
 
 
 def _customers(m: Models) -> DataFrame:
