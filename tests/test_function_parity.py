@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import duckdb
+
 from marketspark import functions as MF
 
 N = 4000
