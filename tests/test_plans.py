@@ -64,3 +64,35 @@ def test_scan_pushdown_and_pruning(spark):
                                                        category=["home", "sports"])))
     assert re.search(r"PushedFilters: \[.*In\(category, \[home,sports\]\)", p), p
     assert "ReadSchema: struct<category:string,total_revenue:double>" in p
+
+
+# Shuffles per model over written staging tables with broadcasts disabled (the
+# large-data plan); the README table documents the same numbers.
+EXPECTED_EXCHANGES = {
+    "int_customer_orders": 1, "int_product_funnel": 1, "int_cart_activity": 2,
+    "dim_customers": 2, "dim_products": 2, "fct_cohort_retention": 5, "fct_traffic_conversion": 3,
+    "fct_traffic_monthly": 2, "fct_experiment_groups": 2, "fct_transactions": 0, "dim_campaigns": 0,
+}
+
+
+def test_shuffle_counts_at_scale(spark):
+    from marketspark.plans.warehouse import downstream_models, staging_models
+    from marketspark.sources import materialise
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in old:
+        spark.conf.set(k, "-1")
+    try:
+        root = tempfile.mkdtemp(prefix="marketspark-shuffles-")
+        stg = staging_models(raw_from_driver(spark, SF), {"transactions": TRANSACTION_TIE_BREAK})
+        for n in ("stg_events", "stg_transactions"):
+            stg[n] = materialise(spark, stg[n], root, n)
+        m = downstream_models(stg)
+        for name, expected in EXPECTED_EXCHANGES.items():
+            p = m[name]._jdf.queryExecution().executedPlan().toString()
+            got = len(re.findall(r"Exchange (hashpartitioning|SinglePartition|rangepartitioning)", p))
+            assert got == expected, (name, got, p)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

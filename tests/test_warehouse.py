@@ -95,3 +95,36 @@ def test_cached_marts_serve_reports(spark, lazy_models):
     b = R.revenue_by_category(lazy_models["fct_product_conversion"])
     assert same_rows(a, b)
     release_marts(cached, ["fct_product_conversion"])
+
+
+def test_dirty_csv_seeds(spark):
+    """Column order, unknown columns, empty fields and text values in CSV seeds."""
+    import datetime as dt
+
+    from marketspark.plans.staging import stg_products, stg_transactions
+
+    root = tempfile.mkdtemp(prefix="marketspark-csv-")
+    with open(os.path.join(root, "transactions.csv"), "w") as f:
+        f.write("refund_flag,transaction_id,timestamp,customer_id,product_id,quantity,discount_applied,"
+                "gross_revenue,campaign_id,note\n"
+                "True,1,2021-03-01 10:00:00,5,7,2.7,1.5,12.50,0,a\n"
+                "0,1,2021-03-01T09:00:00,5,7,2.5,,9.99,3,b\n"
+                ",2,,6,8,abc,0,-3,,c\n"
+                "1,2,2021-02-01,6,8,3.5,0,4,2,d\n")
+    with open(os.path.join(root, "products.csv"), "w") as f:
+        f.write("product_id,category,brand,base_price,launch_date,is_premium\n"
+                "7, Home ,Brand#1,19.99,2021-01-05,true\n"
+                "7,stale,Brand#1,20.99,2022-01-05,0\n"
+                "8,SPORTS,,5,,1\n")
+    raw = read_raw(spark, root, fmt="csv", tables=("transactions", "products"))
+    tx = sorted(stg_transactions(raw["transactions"]).collect(), key=lambda r: r.transaction_id)
+    assert [(r.transaction_id, r.quantity, r.gross_revenue, r.is_refunded, r.campaign_id) for r in tx] == [
+        (1, 2, 9.99, False, 3),                 # 09:00 copy wins; 2.5 rounds half to even
+        (2, 4, 4.0, True, 2),                   # the copy with a time beats the empty one; 3.5 -> 4
+    ]
+    assert tx[0].transaction_timestamp == dt.datetime(2021, 3, 1, 9, 0)
+    prods = sorted(stg_products(raw["products"]).collect(), key=lambda r: r.product_id)
+    assert [(r.product_id, r.category, r.brand, r.launch_date, r.is_premium) for r in prods] == [
+        (7, "home", "brand#1", dt.date(2021, 1, 5), True),
+        (8, "sports", None, None, True),
+    ]
