@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marketspark.plans import intermediate as I
 from marketspark.plans import marts as M
 from marketspark.plans import staging as S
+from marketspark.session import scratch_root
 from marketspark.sources.sinks import materialise
 
 STAGING = ("stg_customers", "stg_campaigns", "stg_products", "stg_events", "stg_transactions")
@@ -117,16 +118,19 @@ def build_models(raw: Mapping[str, DataFrame],
     return Relations({**staging_builders(raw, tie_breaks), **DOWNSTREAM})
 
 
-def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str,
+def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str | None = None,
               tie_breaks: Mapping[str, Sequence[str]] | None = None,
               shared_staging: Sequence[str] = ("stg_events", "stg_transactions")) -> dict[str, DataFrame]:
     """Full rebuild: write shared staging and all marts under ``root``.
 
     ``root`` must be a folder every executor can reach (on a cluster, the
-    shared warehouse or checkpoint location, never a machine-local path).
+    shared warehouse location, never a machine-local path); by default it is
+    a ``warehouse`` folder under the session's ``spark.checkpoint.dir``.
     Returns all 20 relations; marts and shared staging are scans of the
     written Parquet tables.
     """
+    if root is None:
+        root = scratch_root(spark, "warehouse")
     stg = staging_models(raw, tie_breaks)
     for name in shared_staging:
         stg[name] = materialise(spark, stg[name], os.path.join(root, "staging"), name)

@@ -128,3 +128,11 @@ def test_dirty_csv_seeds(spark):
         (7, "home", "brand#1", dt.date(2021, 1, 5), True),
         (8, "sports", None, None, True),
     ]
+
+
+def test_build_all_defaults_to_checkpoint_folder(spark):
+    raw = raw_from_driver(spark, SF)
+    built = build_all(spark, raw, tie_breaks=TIE)
+    ckpt = spark.sparkContext.getCheckpointDir()
+    files = built["dim_campaigns"].inputFiles()
+    assert files and all(ckpt.replace("file:", "") in f for f in files)
