@@ -32,16 +32,31 @@ def test_no_pairwise_joins_and_no_python(plans):
             assert bad not in p, (key, bad)
 
 
+def _operators(p: str) -> list[tuple[int, str, str]]:
+    """(id, operator, Arguments line) from the detail sections of a formatted plan."""
+    out = []
+    for block in re.split(r"\n\n(?=\(\d+\) )", p):
+        m = re.match(r"\((\d+)\) (\w+)", block)
+        if m:
+            args = re.search(r"^Arguments: (.*)$", block, re.M)
+            out.append((int(m.group(1)), m.group(2), args.group(1) if args else ""))
+    return out
+
+
 def test_dedupe_limits_before_the_shuffle(plans):
-    for key in ("stg_events", "stg_transactions", "stg_products"):
-        p = plans[key]
-        partial = p.find("WindowGroupLimit")
-        assert "Partial" in p and "Final" in p, key
-        # In the tree text the Final limit sits above the Exchange and the Partial one below it.
-        tree = p.split("\n\n")[0]
-        lines = [ln for ln in tree.splitlines() if re.search(r"WindowGroupLimit|Exchange", ln)]
-        kinds = [("WGL" if "WindowGroupLimit" in ln else "EX") for ln in lines]
-        assert partial >= 0 and "WGL" in kinds and "EX" in kinds, key
+    """Partial WindowGroupLimit below the dedupe-key Exchange, Final above it.
+
+    Formatted plans number children below their parents, so the ids must
+    increase Partial < Exchange < Final.
+    """
+    for key, id_col in (("stg_events", "event_id"), ("stg_transactions", "transaction_id"),
+                        ("stg_products", "product_id")):
+        ops = _operators(plans[key])
+        partial = [i for i, op, a in ops if op == "WindowGroupLimit" and a.endswith("Partial")]
+        final = [i for i, op, a in ops if op == "WindowGroupLimit" and a.endswith("Final")]
+        shuffle = [i for i, op, a in ops if op == "Exchange" and a.startswith(f"hashpartitioning({id_col}#")]
+        assert partial and final and shuffle, (key, ops)
+        assert any(p < e < f for p in partial for e in shuffle for f in final), (key, partial, shuffle, final)
 
 
 def test_aggregations_are_partial_before_shuffle(plans):
