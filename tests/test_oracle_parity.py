@@ -35,3 +35,14 @@ def test_entry_runs(spark):
     assert df.columns == ["cohort_month", "order_month", "months_since_signup", "active_customers",
                           "total_orders", "total_revenue"]
     assert df.count() > 0
+
+
+def test_every_column_is_explicitly_named(spark):
+    """The driver matches columns by name: no generated names such as ``sum(x)``."""
+    import re
+
+    for key, q in QUERIES.items():
+        cols = q(spark, SF).columns
+        assert len(cols) == len(set(cols)), key
+        bad = [c for c in cols if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", c) or c.startswith("__")]
+        assert not bad, (key, bad)
