@@ -2,7 +2,7 @@
 
 Usable from pytest and as a script::
 
-    python tests/parity.py /root/testdata/sf0.01 [key ...]
+    python tests/parity.py /root/testdata/sf0.01 [key ...] [--json out.json]
 """
 
 from __future__ import annotations
@@ -101,8 +101,14 @@ def compare(spark_df, con, sql: str) -> dict:
 
 
 def main(argv: list[str]) -> int:
+    json_out = None
+    if "--json" in argv:
+        i = argv.index("--json")
+        json_out = argv[i + 1]
+        argv = argv[:i] + argv[i + 2:]
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     keys = argv[2:]
+    summary = {}
     import __spark_entry__ as entry
     from marketspark.session import get_or_create_session
 
@@ -117,10 +123,17 @@ def main(argv: list[str]) -> int:
         except Exception as e:  # noqa: BLE001
             res = {"ok": False, "reason": f"{type(e).__name__}: {str(e)[:400]}"}
         bad += res.get("ok") is False
+        summary[k] = {"ok": res.get("ok"), "rows": res.get("spark_rows"), "sec": round(time.time() - t, 2),
+                      "reason": res.get("reason", "")}
         print(f"{k:32s} {res.get('ok')!s:5s} {time.time() - t:6.2f}s "
               f"{res.get('spark_rows', '')}/{res.get('oracle_rows', '')} {res.get('reason', '')} "
               f"{res.get('example', '')}", flush=True)
     print(f"FAILED: {bad}")
+    if json_out:
+        import json
+
+        with open(json_out, "w") as f:
+            json.dump({"sf_dir": sf_dir, "failed": bad, "queries": summary}, f, indent=1)
     return 1 if bad else 0
 
 
