@@ -30,9 +30,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import id_and_text, side_file
+from marketspark.llm.common import blocks, id_and_text, side_file
 
 MARK = "▁"
+#: Units of more symbols than this use a heap.
+SHORT = 32
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -40,7 +42,7 @@ RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 class PieceCodec:
     """Encoder and decoder over one model, with a bounded memory of units."""
 
-    def __init__(self, model: bytes, max_units: int = 400_000, max_unit_chars: int = 64, check: bool = True):
+    def __init__(self, model: bytes, max_units: int = 800_000, max_unit_chars: int = 64, check: bool = True):
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -50,21 +52,50 @@ class PieceCodec:
         self.cost = {self.pieces[i]: -sp.get_score(i) for i in normal}
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids) if sp.is_byte(i)}
-        self.control = {i for i in range(len(self.pieces)) if sp.is_control(i)}
+        self.raw = [b"" if sp.is_control(i) else bytes([self.byte_of[i]]) if i in self.byte_of
+                    else p.replace(MARK, " ").encode("utf-8") for i, p in enumerate(self.pieces)]
         if len(self.byte_of) != 256:
             raise ValueError("the vocabulary needs byte fallback")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary merges across a space mark; units cannot be cut there")
         if sp.encode(" a  b") != sp.encode(" a") + sp.encode(" b"):
             raise ValueError("the model rewrites spaces; only identity normalisation is supported")
-        self.memory: dict[str, tuple[str, str]] = {}
+        #: Ids of a unit, as text, and the decoded form of units that do not decode to themselves.
+        self.memory: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.max_units, self.max_unit_chars, self.check = max_units, max_unit_chars, check
 
     # ------------------------------------------------------------ one unit
     def merge(self, unit: str) -> list[int]:
         """Ids of one unit by the score-ordered agenda."""
-        if unit in self.ids and len(unit) == 1:
-            return [self.ids[unit]]
+        out: list[int] = []
+        for s in self._short(unit) if len(unit) <= SHORT else self._long(unit):
+            if s in self.ids:
+                out.append(self.ids[s])
+            else:
+                out.extend(self.byte_ids[b] for b in s.encode("utf-8"))
+        return out
+
+    def _short(self, unit: str) -> list[str]:
+        """Few symbols: the agenda is a list by position, its least cost (the leftmost on ties) comes next."""
+        get, none = self.cost.get, float("inf")
+        symbol = list(unit)
+        agenda = [get(unit[i:i + 2], none) for i in range(len(unit) - 1)]
+        while agenda:
+            least = min(agenda)
+            if least == none:
+                break
+            i = agenda.index(least)
+            symbol[i] += symbol.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(symbol[i] + symbol[i + 1], none)
+            if i:
+                agenda[i - 1] = get(symbol[i - 1] + symbol[i], none)
+        return symbol
+
+    def _long(self, unit: str) -> list[str]:
+        """Many symbols: the agenda is a heap; entries of symbols merged meanwhile are skipped."""
         cost = self.cost
         symbol: list[str | None] = list(unit)
         n = len(symbol)
@@ -94,59 +125,49 @@ class PieceCodec:
                 joined = symbol[h] + pair
                 if joined in cost:
                     push(agenda, (cost[joined], h, joined))
-        out: list[int] = []
-        for s in symbol:
-            if s is None:
-                continue
-            if s in self.ids:
-                out.append(self.ids[s])
-            else:
-                out.extend(self.byte_ids[b] for b in s.encode("utf-8"))
-        return out
+        return [s for s in symbol if s is not None]
 
     def unmerge(self, ids: list[int]) -> str:
         """Text of one unit's ids, its space marks as spaces; no leading mark is removed."""
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i not in self.control:
-                parts.append(self.pieces[i].replace(MARK, " ").encode("utf-8"))
-        return b"".join(parts).decode("utf-8", errors="replace")
+        return b"".join([self.raw[i] for i in ids]).decode("utf-8", errors="replace")
 
     # --------------------------------------------------------- whole texts
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def _learn(self, fresh: list[str]) -> dict[str, tuple[str, str]]:
+    def _learn(self, fresh: list[str]) -> dict[str, str]:
         """Agenda results of units not in memory, held against the library."""
         ids = [self.merge(u) for u in fresh]
+        plain = [u.replace(MARK, " ") for u in fresh]
         if self.check:
-            plain = [u[1:].replace(MARK, " ") for u in fresh]
-            for u, p, own, theirs in zip(fresh, plain, ids, self.library.encode(plain, num_threads=1), strict=True):
-                if p and own != theirs:
+            for u, own, theirs in zip(fresh, ids, self.library.encode([p[1:] for p in plain], num_threads=1), strict=True):
+                if own != theirs and len(u) > 1:
                     raise AssertionError(f"agenda and library differ on {u!r}: {own} {theirs}")
-        return {u: (",".join(map(str, i)), self.unmerge(i)) for u, i in zip(fresh, ids, strict=True)}
+        for u, p, i in zip(fresh, plain, ids, strict=True):
+            if (decoded := self.unmerge(i)) != p:
+                self.odd[u] = decoded
+        return {u: ",".join(map(str, i)) for u, i in zip(fresh, ids, strict=True)}
 
     def batch(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """For each text its ids as decimals joined by commas, and its decoded form."""
-        for text in texts:
-            units = self.units(text)
+        """For each text its ids as decimals joined by commas, and its decoded form.
+
+        New units are learnt for about a million characters at a time.
+        """
+        for a, b in blocks(texts):
+            cut = [self.units(t) for t in texts[a:b]]
+            if len(self.memory) > self.max_units:
+                self.memory.clear()
+                self.odd.clear()
             memory = self.memory
-            try:
-                found = [memory[u] for u in units]
-            except KeyError:
-                fresh = list(dict.fromkeys(u for u in units if u not in memory))
-                learnt = self._learn(fresh)
-                found = [memory[u] if u in memory else learnt[u] for u in units]
-                if len(memory) + len(learnt) > self.max_units:
-                    memory.clear()
-                memory.update((u, v) for u, v in learnt.items() if len(u) <= self.max_unit_chars)
-            if not found:
-                yield "", ""
-                continue
-            ids, plain = zip(*found, strict=True)
-            yield ",".join(ids), "".join(plain)[1:]  # the mark put in front goes again
+            fresh = set().union(*cut).difference(memory)
+            memory.update(self._learn(list(fresh)))
+            odd = self.odd
+            for units in cut:
+                plain = "".join([odd.get(u, u) for u in units]) if odd else "".join(units)
+                yield ",".join([memory[u] for u in units]), plain.replace(MARK, " ")[1:]  # the mark in front goes again
+            for u in fresh:
+                if len(u) > self.max_unit_chars:
+                    del memory[u]
 
     def encode(self, text: str) -> list[int]:
         return [i for u in self.units(text) for i in self.merge(u)]
