@@ -21,6 +21,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketspark.llm.substring_dedup import shortened
+
+    return shortened(read_table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketspark.llm.token_files import read_digests, write_files
 
@@ -35,6 +41,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketspark.llm.decontaminate import contaminated
+
+    return contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
@@ -57,14 +69,23 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_token_files": op2_token_files,
         "op3_minhash": op3_minhash,
+        "op6_decontamination": op6_decontamination,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
         "op10_piece_codec": op10_piece_codec,
+        "pipeline": pipeline,
     }
 
 
