@@ -206,7 +206,11 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
 
 
 def _cross_pairs(lists: DataFrame, member: DataFrame) -> DataFrame:
-    """Pairs of each list that lie in different components, by blocks of the list."""
+    """Pairs of each list that lie in different components, by blocks of the list.
+
+    Prefixes are in one global order, and a pair is made in the list of their
+    first common token only.
+    """
     labelled = written(lists.join(member.withColumnRenamed("node", "doc"), "doc", "left")
                        .withColumn("component", F.coalesce("component", "doc")), "near-labelled")
     mixed = written(labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"),
@@ -215,12 +219,14 @@ def _cross_pairs(lists: DataFrame, member: DataFrame) -> DataFrame:
                     "near-mixed")
     posts = written(labelled.join(mixed, "token").withColumn(
         "block", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int")), "near-blocks")
+    kept = ["doc", "n", "sketch", "prefix", "component"]
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    left = posts.withColumn("to_block", other).select("token", F.col("block").alias("i"), F.col("to_block").alias("j"), "doc", "n", "sketch", "component")
-    right = posts.withColumn("to_block", other).select("token", F.col("to_block").alias("i"), F.col("block").alias("j"), "doc", "n", "sketch", "component")
+    left = posts.withColumn("to_block", other).select("token", F.col("block").alias("i"), F.col("to_block").alias("j"), *kept)
+    right = posts.withColumn("to_block", other).select("token", F.col("to_block").alias("i"), F.col("block").alias("j"), *kept)
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     return left.alias("x").join(right.alias("y"), same & (F.col("x.doc") < F.col("y.doc"))
-                                & (F.col("x.component") != F.col("y.component")) & _may_link()) \
+                                & (F.col("x.component") != F.col("y.component")) & _may_link()
+                                & (F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.token"))) \
         .select(*_pair()).distinct()
 
 
@@ -257,11 +263,12 @@ def representatives(signed: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between classes, and (node, component) of linked ones."""
     posted = written(_postings(reps), "near-posted")
-    lists = written(posted.select(F.explode("prefix").alias("token"), "doc", "n", "sketch"), "near-lists")
+    lists = written(posted.select(F.explode("prefix").alias("token"), "doc", "n", "sketch", "prefix"), "near-lists")
     wanted = id_and_text(docs).join(posted.join(reps.select("doc", "class_id", "set_digest"), "doc")
                                     .select(F.col("class_id").alias("doc_id"), "set_digest", "doc"), "doc_id")
-    hashed = wanted.withColumn("h", _hashes(F.col("text"))).where("h.set_digest = set_digest")
-    sets = written(hashed.select("doc", "h.hashes").dropDuplicates(["doc"]), "near-sets")
+    # Hashed after the join (the condition on the digest would pull the function below it).
+    hashed = written(wanted.select("doc", "set_digest", _hashes(F.col("text")).alias("h")), "near-sets")
+    sets = hashed.where("h.set_digest = set_digest").select("doc", "h.hashes").dropDuplicates(["doc"])
     star = written(_confirmed(_star_pairs(lists), posted, sets), "near-links")
     member = components(star)
     cross = written(_confirmed(_cross_pairs(lists, member), posted, sets), "near-links")
