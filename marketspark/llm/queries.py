@@ -41,6 +41,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketspark.llm.pii import personal_data
+
+    return personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketspark.llm.secret_ledger import secrets
+
+    return secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketspark.llm.decontaminate import contaminated
 
@@ -80,6 +92,8 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_token_files": op2_token_files,
         "op3_minhash": op3_minhash,
+        "op4_pii": op4_pii,
+        "op5_secret_ledger": op5_secret_ledger,
         "op6_decontamination": op6_decontamination,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_sharding": op8_sharding,
