@@ -134,6 +134,10 @@ def _joined(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
 
 
+def _count(found: str, kind: str) -> Column:
+    return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long")
+
+
 def secrets(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
     ledger = ledger or Ledger(docs.sparkSession, scratch_path(docs.sparkSession, "blob-ledger"))
@@ -142,5 +146,5 @@ def secrets(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     found = ledger.paths(d, ["doc_id"])
     base = F.filter("found", lambda x: x["kind"].isin(BASE))
     return found.select(
-        "doc_id", *[F.size(F.filter("found", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        "doc_id", *[_count("found", k).alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
