@@ -17,8 +17,9 @@ position of a document in the whole id stream is (ids of earlier parts) + (ids
 of earlier blocks of its part) + (ids before it in its block).  Only the number
 of ids per part crosses between tasks.
 
-Texts are split at spaces and line feeds, which no token of the vocabulary
-spans, and each distinct piece is encoded once per worker (bounded memory).
+Texts are split where no token of the vocabulary can span (spaces and line
+feeds; in Latin-1 text also behind a letter that no letter follows), and each
+distinct piece is encoded by the library once per worker (bounded memory).
 
 Defined cases: NULL text counts as empty; an empty document holds the end id
 only; a NULL doc_id sorts first; rows that repeat a doc_id are all kept,
@@ -40,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import id_and_text, side_file
+from marketspark.llm.common import blocks, id_and_text, side_file
 
 END_ID = 1
 LEVEL = 3
@@ -51,6 +52,9 @@ SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 16_384, 32 << 10
 BLOCK_BYTES = 1 << 20
 
 _SPLIT = re.compile("[ \n]+")
+#: Of lower-cased Latin-1 text: letters, or other characters with the letters behind them.  No token of the vocabulary's
+#: splitting rule goes from a letter on to another character.
+_LATIN_PIECE = re.compile("[a-zµß-öø-ÿªº]+|[^ \na-zµß-öø-ÿªº]+[a-zµß-öø-ÿªº]*")
 _INDEX = "array<struct<doc_id: long, offset: long, length: long, n_tokens: long>>"
 BLOCK_SCHEMA = ("part int, block int, first_doc long, last_doc long, n_docs long, n_tokens long, "
                 f"part_start long, width int, dict_hash string, frames binary, index {_INDEX}")
@@ -59,30 +63,46 @@ BLOCK_SCHEMA = ("part int, block int, first_doc long, last_doc long, n_docs long
 class WordEncoder:
     """Whole-text ids through the tokenizers library, one call per distinct piece."""
 
-    def __init__(self, vocabulary: bytes, max_pieces: int = 400_000, max_piece_chars: int = 64):
+    def __init__(self, vocabulary: bytes, max_pieces: int = 800_000, max_piece_chars: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary.decode("utf-8"))
         self.size = self.library.get_vocab_size()
-        self.memory: dict[str, bytes] = {"": b""}
+        self.memory: dict[str, bytes] = {}
         self.max_pieces, self.max_piece_chars = max_pieces, max_piece_chars
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers."""
-        pieces = _SPLIT.split(text)
-        memory = self.memory
-        try:
-            return b"".join([memory[p] for p in pieces])
-        except KeyError:
-            fresh = list({p for p in pieces if p not in memory})
+    @staticmethod
+    def pieces(text: str) -> list[str]:
+        """Parts of a text that the library encodes independently of each other."""
+        if "<|" not in text:  # special tokens are found before letters are folded
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return _LATIN_PIECE.findall(text.lower())
+        return _SPLIT.split(text)
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each whole text as little-endian 32-bit integers.
+
+        New pieces are learnt for about a million characters at a time.
+        """
+        for a, b in blocks(texts):
+            cut = [self.pieces(t) for t in texts[a:b]]
+            if len(self.memory) > self.max_pieces:
+                self.memory.clear()
+            memory = self.memory
+            fresh = list(set().union(*cut).difference(memory))
             encoded = self.library.encode_batch_fast(fresh, add_special_tokens=False)
-            learnt = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(fresh, encoded, strict=True)}
-            out = b"".join([memory[p] if p in memory else learnt[p] for p in pieces])
-            if len(memory) + len(learnt) > self.max_pieces:
-                self.memory = memory = {"": b""}
-            memory.update((p, v) for p, v in learnt.items() if len(p) <= self.max_piece_chars)
-            return out
+            for p, e in zip(fresh, encoded, strict=True):
+                memory[p] = np.array(e.ids, dtype="<u4").tobytes()
+            for pieces in cut:
+                yield b"".join([memory[p] for p in pieces])
+            for p in fresh:
+                if len(p) > self.max_piece_chars:
+                    del memory[p]
 
 
 _ENCODERS: dict[bytes, WordEncoder] = {}
@@ -122,7 +142,7 @@ def train_dictionary(texts: list[str], vocabulary: bytes) -> bytes:
     encoder = WordEncoder(vocabulary)
     width = 2 if encoder.size <= 1 << 16 else 4
     end = END_ID.to_bytes(4, "little")
-    samples = [serialize(encoder.ids(t) + end, width) for t in texts]
+    samples = [serialize(ids + end, width) for ids in encoder.batch(texts)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b"".join(samples)[-DICTIONARY_BYTES:]
     except zstandard.ZstdError:
@@ -165,8 +185,8 @@ def write_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
                                 columns=[c.split(" ")[0] for c in BLOCK_SCHEMA.split(", index")[0].split(", ")] + ["index"])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = encoder.ids(text or "") + end
+            for doc_id, ids in zip(batch["doc_id"].tolist(), encoder.batch(batch["text"].fillna("").tolist()), strict=True):
+                ids += end
                 frame = compressor.compress(serialize(ids, width))
                 if frames and size + len(frame) > BLOCK_BYTES:
                     yield block()
