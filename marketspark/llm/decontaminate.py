@@ -8,9 +8,9 @@ character as a space, one to one, so spans are positions in the original.
 Filter: a region within ``k`` edits of an item of ``m`` characters shares at
 least ``m + 1 - q (k + 1)`` of its q-grams, on diagonals at most ``k`` apart
 from its own.  Diagonals are cut into bands of width 2 (2k + 1) that overlap by
-half, so every such region lies wholly in one band; q-grams are counted per
-(document, item, band) in numpy over a batch of texts, and bands that reach the
-bound are retained.  Verification: banded alignment of the whole item against
+half, so every such region lies wholly in one band; q-grams of an item are
+counted per (document, item, band) in numpy over a batch of texts, and bands
+that reach the bound are retained.  Verification: banded alignment of the whole item against
 the retained band's text, free at the text's ends, gives the least number of
 edits and the region.
 
@@ -59,29 +59,40 @@ def fold_table() -> np.ndarray:
 
 
 def folded(text: str) -> np.ndarray:
-    return fold_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    return fold_table().take(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"))
 
 
-def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
-    """64-bit hash of the q-gram at each position (empty if there is none)."""
+def rolling(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """32-bit polynomial hash of the q-gram at each position (empty if there is none)."""
     if len(points) < q:
-        return np.zeros(0, dtype=np.uint64)
-    power = 0x9E3779B97F4A7C15
-    h = points.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
+        return np.zeros(0, dtype=np.uint32)
+    power = 0x9E3779B1
+    h = points * np.uint32(0x85EBCA6B)
     n = len(points) - q + 1
     total, width, at = None, 1, 0
     rest = q
     while rest:  # binary doubling of the window
         if rest & 1:
             part = h[at:at + n]
-            total = part if total is None else total * np.uint64(power) + part
+            total = part if total is None else total * np.uint32(power) + part
             at += width
         rest >>= 1
         if rest:
-            h = h[:-width] * np.uint64(power) + h[width:]
+            h = h[:-width] * np.uint32(power) + h[width:]
             width *= 2
-            power = power * power & 0xFFFFFFFFFFFFFFFF
-    return total ^ (total >> np.uint64(29))
+            power = power * power & 0xFFFFFFFF
+    return total
+
+
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(Q)], dtype=np.uint64)
+
+
+def exact_grams(points: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the q-grams at some positions."""
+    h = np.zeros(len(positions), dtype=np.uint64)
+    for i in range(Q):
+        h += points[positions + i].astype(np.uint64) * _POWERS[i]
+    return h ^ (h >> np.uint64(29))
 
 
 class Block:
@@ -99,7 +110,9 @@ class Block:
         self.bound = np.maximum(m + 1 - Q * (self.budget + 1), 1)
         self.step = 2 * self.budget + 1
         self.length = m
-        grams = [gram_hashes(p) for p in self.points]
+        grams = [exact_grams(p, np.arange(len(p) - Q + 1)) for p in self.points]
+        coarse = [rolling(p) for p in self.points]
+        self.coarse = np.unique(np.concatenate(coarse)) if coarse else np.zeros(0, dtype=np.uint32)
         flat = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
         offset = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
@@ -110,18 +123,19 @@ class Block:
 
     def ready(self) -> Block:
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
-        self.filter[self.grams >> np.uint64(64 - FILTER_BITS)] = True
+        self.filter[self.coarse >> np.uint32(32 - FILTER_BITS)] = True
         return self
 
     def retained(self, points: np.ndarray) -> list[tuple[int, int]]:
         """(item index, band) of every band that reaches its item's bound."""
-        hashes = gram_hashes(points)
-        if not len(hashes) or not len(self.grams):
+        coarse = rolling(points)
+        if not len(coarse) or not len(self.grams):
             return []
-        pos = np.flatnonzero(self.filter[hashes >> np.uint64(64 - FILTER_BITS)])
-        found = np.searchsorted(self.grams, hashes[pos])
+        pos = np.flatnonzero(self.filter.take(coarse >> np.uint32(32 - FILTER_BITS)))
+        hashes = exact_grams(points, pos)
+        found = np.searchsorted(self.grams, hashes)
         found[found == len(self.grams)] = 0
-        hit = self.grams[found] == hashes[pos]
+        hit = self.grams[found] == hashes
         pos, found = pos[hit], found[hit]
         if not len(pos):
             return []
@@ -133,7 +147,10 @@ class Block:
         low = band.min() - 1
         span = band.max() - low + 1
         key = item * span + (band - low)
-        keys, counts = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        # The item's q-grams count, not their repeats in the text.
+        longest = int(self.length.max())
+        keys = np.unique(np.concatenate([key, key - 1]) * longest + np.tile(self.offset[place], 2)) // longest
+        keys, counts = np.unique(keys, return_counts=True)
         good = counts >= self.bound[keys // span]
         return [(int(k // span), int(k % span + low)) for k in keys[good]]
 
@@ -186,11 +203,15 @@ def align(item: np.ndarray, text: np.ndarray, k: int, first: int) -> tuple[int,
     Diagonals from ``first`` - k to 2 (2k + 1) + k behind it are aligned.
     """
     width = 2 * (2 * k + 1) + 2 * k + 1
+    whole, part = text.tobytes(), item.tobytes()
+    at = whole.find(part)
+    while at >= 0 and at % 4:
+        at = whole.find(part, at + 1)
+    if at >= 0:  # no edit: nothing to align
+        return at // 4, at // 4 + len(item), 0
     edits, end = _best_end(item, text, k, first - k, width)
     if edits > k:
         return None
-    if edits == 0:
-        return end - len(item), end, 0
     # The same from the end backwards finds the start.
     tail = text[:end][::-1]
     _, back = _best_end(item[::-1], tail, k, -k, 2 * k + 1)
@@ -226,7 +247,7 @@ def _block_matches(text: Column, block: Block) -> Column:
         for batch in batches:
             out: list[list[dict]] = []
             texts = batch.fillna("").tolist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, 1 << 18):
                 points = [folded(t) for t in texts[a:b]]
                 suspects = _suspects(ready, points)
                 for i, p in enumerate(points):
