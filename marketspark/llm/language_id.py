@@ -96,7 +96,7 @@ class CrossParser:
 
     Symbols: 0 pads a lane (every state keeps itself), 1 separates, 2 is a
     letter that no labelled text has, further ones are letters.  State 0 means
-    that there is no transition; entries are premultiplied by the alphabet size.
+    that no phrase is under way (or none can go on); entries are premultiplied by the alphabet size.
     """
 
     def __init__(self, texts: dict[str, list[str]], symbols: int = TRAIN_SYMBOLS, total: int = TOTAL_SYMBOLS):
@@ -164,16 +164,14 @@ class CrossParser:
         steps = np.ascontiguousarray(np.concatenate(lanes).T).astype(np.int32)
         owner = np.concatenate(owner)
         width = steps.shape[1]
-        start = np.repeat(self.roots[:, None], width, axis=1)
-        state = start.copy()
-        cut = np.ones(start.shape, dtype=np.int32)  # the phrase under way at a lane's end counts
+        state = np.zeros((len(self.languages), width), dtype=np.int32)  # no phrase under way
+        cut = np.zeros(state.shape, dtype=np.int32)
         for symbols in steps:
             follow = self.table.take(state + symbols)
-            dead = follow == 0
+            dead = (follow == 0) & (symbols > 0)
             cut += dead
-            # A new phrase starts with this symbol; one that no labelled text has is a phrase of its own.
-            fresh = self.table.take(self.roots[:, None] + symbols)
-            np.copyto(follow, np.where(fresh == 0, start, fresh), where=dead)
+            # A new phrase starts with this symbol; one that no labelled text has is a phrase of its own (state 0).
+            np.copyto(follow, self.table.take(self.roots[:, None] + symbols), where=dead)
             state = follow
         for k in range(len(self.languages)):
             counts[:, k] = np.bincount(owner, weights=cut[k], minlength=len(texts))
