@@ -3,15 +3,14 @@
 Every query is one self-contained statement over the driver tables (region,
 nation, customer, supplier, part, orders, lineitem, events, ... registered as
 views): the raw-table derivation, the staging / intermediate / mart models
-and the report are leading CTEs.  The models are written as plain DuckDB SQL
-in their most direct set form (QUALIFY for the dedupe, FILTER aggregates,
-COUNT(DISTINCT) over the joined rows for cohorts, a window over grouped rows
-for source totals, a plain LEFT JOIN for cart activity), independent of the
-Spark plans they check (single-pass aggregates, pre-aggregated joins,
-chunked fan-out).
+and the report are leading CTEs.  Each model is the direct form of its rule
+(separate sets joined, counts spread by joins, distinct counts over joined
+rows), not the single-pass or pre-aggregated form of the Spark plan it checks.
+Selections and test lists are stated in ``selections``; nothing is imported
+from the library.
 
-Shared conventions with the Spark side: money sums and averages in exact
-cents, ratios as DOUBLE, counts as BIGINT, months as DATE.
+Conventions: money is summed exactly and rounded once, after the sum; ratios
+are DOUBLE, counts BIGINT, months DATE.
 """
 
 from __future__ import annotations

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from duckdb_oracle.models import cte, msum
+from duckdb_oracle.models import cte, msum, total
 from duckdb_oracle.selections import (
     CAMPAIGN_SELECTION,
-    COHORT_MONTHS,
     CUSTOMER_SELECTION,
+    EVENT_TYPES,
+    NOT_NULL,
     PRODUCT_SELECTION,
     TRAFFIC_SELECTION,
+    UNIQUE,
 )
-from marketspark.plans.quality import ACCEPTED_VALUES, NOT_NULL, RELATIONSHIPS, UNIQUE
 
 REPORT_SQL: dict[str, tuple[list[str], str]] = {}
 
@@ -62,16 +63,15 @@ WHERE t.campaign_id IS NOT NULL AND t.gross_revenue > 0
 
 # ------------------------------------------------------------------ landing page
 
+cte("buyers", "SELECT * FROM dim_customers WHERE total_revenue > 0")
 report("kpi_overview", f"""
-SELECT COUNT(DISTINCT customer_id) AS total_customers,
- CAST(SUM(CASE WHEN has_purchased = 1 THEN 1 ELSE 0 END) AS BIGINT) AS total_purchasers,
- ROUND(CAST(SUM(CASE WHEN has_purchased = 1 THEN 1 ELSE 0 END) AS DOUBLE) * 100.0 / COUNT(DISTINCT customer_id), 1)
-  AS pct_converted,
- ROUND(CAST(SUM(CASE WHEN total_revenue > 0 THEN {cents('total_revenue')} END) AS DOUBLE)
-  / COUNT(CASE WHEN total_revenue > 0 THEN 1 END)) / 100 AS avg_ltv,
- ROUND(AVG(CASE WHEN total_orders > 0 THEN total_orders END), 1) AS avg_orders,
- {msum('total_revenue')} AS total_revenue
-FROM dim_customers
+SELECT n.customers AS total_customers, n.purchasers AS total_purchasers,
+ round(100.0 * CAST(n.purchasers AS DOUBLE) / n.customers, 1) AS pct_converted,
+ (SELECT round({total('total_revenue')} / count(*), 2) FROM buyers) AS avg_ltv,
+ (SELECT round(avg(total_orders), 1) FROM dim_customers WHERE total_orders > 0) AS avg_orders,
+ n.revenue AS total_revenue
+FROM (SELECT count(DISTINCT customer_id) AS customers, CAST(sum(has_purchased) AS BIGINT) AS purchasers,
+       {msum('total_revenue')} AS revenue FROM dim_customers) n
 """)
 
 # ------------------------------------------------------------- customer overview
@@ -131,13 +131,16 @@ SELECT acquisition_channel, {money_total('total_revenue')} AS total_revenue
 FROM customers_named_country WHERE acquisition_channel IS NOT NULL GROUP BY 1
 """)
 
-_cohort_cols = ",\n ".join(
-    f"CAST(COALESCE(SUM(CASE WHEN months_since_signup = {m} THEN {cents('total_revenue')} END), 0) AS DOUBLE)/100"
-    f" AS \"M{m}\"" for m in COHORT_MONTHS)
+cte("cohort_cells", """
+SELECT strftime(cohort_month, '%Y-%m') AS cohort_month, months_since_signup, total_revenue FROM fct_cohort_retention
+WHERE cohort_month IS NOT NULL AND months_since_signup IS NOT NULL
+""")
 report("cohort_matrix", f"""
-SELECT strftime(cohort_month, '%Y-%m') AS cohort_month,
- {_cohort_cols}
-FROM fct_cohort_retention WHERE cohort_month IS NOT NULL AND months_since_signup IS NOT NULL GROUP BY 1
+SELECT c.cohort_month, m.months_since_signup, {money_total('r.total_revenue')} AS total_revenue
+FROM (SELECT DISTINCT cohort_month FROM cohort_cells) c
+CROSS JOIN (SELECT DISTINCT months_since_signup FROM cohort_cells) m
+LEFT JOIN cohort_cells r ON r.cohort_month = c.cohort_month AND r.months_since_signup = m.months_since_signup
+GROUP BY c.cohort_month, m.months_since_signup
 """)
 
 # ---------------------------------------------------------- traffic & conversion
@@ -252,15 +255,15 @@ report("campaign_transactions_filtered",
 report("campaign_kpis", f"""
 SELECT (SELECT COUNT(DISTINCT campaign_id) FROM dim_campaigns) AS total_campaigns,
  (SELECT COUNT(DISTINCT channel) FROM dim_campaigns) AS total_channels,
- (SELECT {money_total('gross_revenue')} FROM campaign_transactions) AS total_attributed_revenue,
+ (SELECT coalesce({total('gross_revenue')}, 0.0) FROM campaign_transactions) AS total_attributed_revenue,
  (SELECT COUNT(*) FROM campaign_transactions) AS total_transactions,
- ROUND((SELECT AVG(expected_uplift) FROM dim_campaigns) * 100.0, 6) AS avg_expected_uplift,
+ (SELECT {total('expected_uplift')} / count(expected_uplift) FROM dim_campaigns) * 100.0 AS avg_expected_uplift,
  (SELECT COALESCE({share('SUM(CAST(is_refunded AS INTEGER))', 'COUNT(is_refunded)')}, 0.0)
   FROM campaign_transactions) AS refund_rate
 """)
 
 report("revenue_by_channel", f"""
-SELECT channel, {money_total('gross_revenue')} AS gross_revenue FROM campaign_transactions
+SELECT channel, coalesce({total('gross_revenue')}, 0.0) AS gross_revenue FROM campaign_transactions
 WHERE channel IS NOT NULL GROUP BY 1
 """)
 
@@ -281,32 +284,27 @@ report("uplift_vs_revenue", f"""
 SELECT c.campaign_id, c.channel, c.objective, c.target_segment, c.expected_uplift,
  c.expected_uplift * 100.0 AS uplift_pct, r.attributed_revenue
 FROM dim_campaigns c
-JOIN (SELECT campaign_id, {money_total('gross_revenue')} AS attributed_revenue FROM campaign_transactions
+JOIN (SELECT campaign_id, coalesce({total('gross_revenue')}, 0.0) AS attributed_revenue FROM campaign_transactions
       WHERE campaign_id IS NOT NULL GROUP BY 1) r ON c.campaign_id = r.campaign_id
 WHERE c.expected_uplift IS NOT NULL
 """)
 
 # -------------------------------------------------------------------- data tests
 
-_NOT_NULL = NOT_NULL
-_UNIQUE = tuple(UNIQUE.items())
-(_AV_MODEL, _AV_COLUMN), _AV_VALUES = next(iter(ACCEPTED_VALUES.items()))
-(_REL_MODEL, _REL_COLUMN), (_REL_PARENT, _REL_FIELD) = next(iter(RELATIONSHIPS.items()))
-
 _nn = " UNION ALL ".join(
     f"SELECT 'not_null' AS test, '{m}' AS model, '{c}' AS column_name, "
     f"CAST(COUNT(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS failures FROM {m}"
-    for m, cols in _NOT_NULL.items() for c in cols)
+    for m, cols in NOT_NULL for c in cols)
 _un = " UNION ALL ".join(
     f"SELECT 'unique' AS test, '{m}' AS model, '{c}' AS column_name, CAST((SELECT COUNT(*) FROM "
     f"(SELECT {c} FROM {m} WHERE {c} IS NOT NULL GROUP BY {c} HAVING COUNT(*) > 1)) AS BIGINT) AS failures"
-    for m, c in _UNIQUE)
-_av = (f"SELECT 'accepted_values' AS test, '{_AV_MODEL}' AS model, '{_AV_COLUMN}' AS column_name, "
-       f"CAST((SELECT COUNT(DISTINCT {_AV_COLUMN}) FROM {_AV_MODEL} WHERE {_AV_COLUMN} IS NOT NULL AND "
-       f"{_in(_AV_COLUMN, _AV_VALUES).replace(' IN (', ' NOT IN (')}) AS BIGINT) AS failures")
-_rel = (f"SELECT 'relationships' AS test, '{_REL_MODEL}' AS model, '{_REL_COLUMN}' AS column_name, "
-        f"CAST((SELECT COUNT(*) FROM {_REL_MODEL} t WHERE t.{_REL_COLUMN} IS NOT NULL AND NOT EXISTS "
-        f"(SELECT 1 FROM {_REL_PARENT} d WHERE d.{_REL_FIELD} = t.{_REL_COLUMN})) AS BIGINT) AS failures")
+    for m, c in UNIQUE)
+_av = ("SELECT 'accepted_values' AS test, 'stg_events' AS model, 'event_type' AS column_name, "
+       "CAST((SELECT COUNT(DISTINCT event_type) FROM stg_events WHERE event_type IS NOT NULL AND NOT "
+       f"{_in('event_type', EVENT_TYPES)}) AS BIGINT) AS failures")
+_rel = ("SELECT 'relationships' AS test, 'fct_transactions' AS model, 'customer_id' AS column_name, "
+        "CAST((SELECT COUNT(*) FROM fct_transactions t WHERE t.customer_id IS NOT NULL AND NOT EXISTS "
+        "(SELECT 1 FROM dim_customers d WHERE d.customer_id = t.customer_id)) AS BIGINT) AS failures")
 
 report("dq_not_null", _nn)
 report("dq_unique", _un)

@@ -5,10 +5,10 @@ from marketspark.functions.expressions import (  # noqa: F401
     cents,
     clean_text,
     clean_text_or,
-    money_avg,
-    money_avg_of_cents,
+    exact,
+    money,
     money_from_cents,
-    money_sum,
+    money_mean,
     month_diff,
     month_label,
     month_start,

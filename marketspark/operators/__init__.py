@@ -5,8 +5,10 @@ from marketspark.operators.filters import isin_filters  # noqa: F401
 from marketspark.operators.joins import left_join_match_flag  # noqa: F401
 from marketspark.operators.quality import (  # noqa: F401
     accepted_values_failures,
+    column_tests,
     not_null_failures,
     null_counts,
+    orphan_count,
     relationships_failures,
     unique_failures,
 )

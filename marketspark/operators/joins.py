@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MATCHES = "__matches"
+_MATCHES, _PART = "__matches", "__part"
+
+
+#: Parts a key's left rows are spread over.
+SPREAD = 32
 
 
 def left_join_match_flag(
@@ -15,6 +19,7 @@ def left_join_match_flag(
     right: DataFrame,
     keys: Sequence[str],
     flag: str,
+    spread_by: str,
 ) -> DataFrame:
     """``left LEFT JOIN right USING (keys)`` keeping only a 0/1 ``flag`` from the right.
 
@@ -25,16 +30,19 @@ def left_join_match_flag(
     Instead of joining raw right rows (which sends every copy of a hot key to
     one task and builds all pairs there), the right side is first reduced to
     one row per key with its match count; that aggregate combines map-side.
-    The join is then many-to-one and the copies are generated per left row
-    after the join.
+    Left rows carry one of ``SPREAD`` parts, a hash of ``spread_by`` (a column
+    that differs between rows of a key), and the counts stand once per part, so
+    a hot key's rows are joined and copied in ``SPREAD`` tasks.
     """
     counts = (right.select(*keys).where(
         F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
         .groupBy(*keys).agg(F.count(F.lit(1)).alias(_MATCHES)))
-    joined = left.join(counts, list(keys), "left") \
+    counts = counts.withColumn(_PART, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    spread = left.withColumn(_PART, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
+    joined = spread.join(counts, [*keys, _PART], "left") \
         .withColumn(flag, F.when(F.col(_MATCHES).isNotNull(), F.lit(1)).otherwise(F.lit(0))) \
         .withColumn(_MATCHES, F.coalesce(F.col(_MATCHES), F.lit(1)))
-    return _repeat_rows(joined, _MATCHES).drop(_MATCHES)
+    return _repeat_rows(joined, _MATCHES).drop(_MATCHES, _PART)
 
 
 _CHUNK = 4096

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.functions import cents, money_avg_of_cents, money_from_cents, month_start, pct_rounded
+from marketspark.functions import exact, money, money_mean, month_start, pct_rounded
 from marketspark.operators import left_join_match_flag
 
 # Funnel step of each event type (bounces are exits, not a step;
@@ -31,9 +31,9 @@ def int_cart_activity(stg_events: DataFrame) -> DataFrame:
     """
     keys = ["session_id", "customer_id", "product_id"]
     carts = stg_events.where(F.col("event_type") == "add_to_cart").select(
-        *keys, "campaign_id", F.col("event_timestamp").alias("added_to_cart_at"))
+        "event_id", *keys, "campaign_id", F.col("event_timestamp").alias("added_to_cart_at"))
     purchases = stg_events.where(F.col("event_type") == "purchase").select(*keys)
-    flagged = left_join_match_flag(carts, purchases, keys, "was_purchased")
+    flagged = left_join_match_flag(carts, purchases, keys, "was_purchased", spread_by="event_id")
     return flagged.select(*keys, "campaign_id", "added_to_cart_at", "was_purchased")
 
 
@@ -58,10 +58,10 @@ def int_customer_orders(stg_transactions: DataFrame) -> DataFrame:
         F.count_if(valid).alias("__valid_rows"),
         F.count(F.when(valid, F.col("transaction_id"))).alias("total_orders"),
         F.sum(F.when(valid, F.col("quantity"))).alias("total_items"),
-        F.sum(F.when(valid, cents("gross_revenue"))).alias("__revenue_cents"),
-        F.sum(F.when(valid, cents("discount_applied"))).alias("__discount_cents"),
+        F.sum(F.when(valid, exact("gross_revenue"))).alias("__revenue"),
+        F.sum(F.when(valid, exact("discount_applied"))).alias("__discount"),
         F.count(F.when(refund, F.col("transaction_id"))).alias("__refund_count"),
-        F.sum(F.when(refund, cents(F.abs(F.col("gross_revenue"))))).alias("__refund_cents"),
+        F.sum(F.when(refund, exact(F.abs(F.col("gross_revenue"))))).alias("__refund"),
         F.min(F.when(valid, F.col("transaction_timestamp"))).alias("first_order_date"),
         F.max(F.when(valid, F.col("transaction_timestamp"))).alias("last_order_date"),
     )
@@ -71,11 +71,11 @@ def int_customer_orders(stg_transactions: DataFrame) -> DataFrame:
         "customer_id",
         "total_orders",
         "total_items",
-        money_from_cents("__revenue_cents").alias("total_revenue"),
-        money_avg_of_cents("__revenue_cents", "__valid_rows").alias("avg_order_value"),
-        money_from_cents("__discount_cents").alias("total_discount"),
+        money("__revenue").alias("total_revenue"),
+        money_mean("__revenue", "__valid_rows").alias("avg_order_value"),
+        money("__discount").alias("total_discount"),
         F.when(known, F.col("__refund_count")).otherwise(F.lit(0).cast("bigint")).alias("total_refund_count"),
-        F.coalesce(F.when(known, money_from_cents("__refund_cents")), F.lit(0.0)).alias("total_refund_value"),
+        F.coalesce(F.when(known, money("__refund")), F.lit(0.0)).alias("total_refund_value"),
         "first_order_date",
         "last_order_date",
     )

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketspark.functions import (
-    cents,
-    money_avg_of_cents,
-    money_from_cents,
+    exact,
+    money,
+    money_mean,
     month_diff,
     month_start,
     pct_rounded,
@@ -98,19 +98,19 @@ def product_revenue(stg_transactions: DataFrame) -> DataFrame:
         # transaction_id is unique after staging, so COUNT(DISTINCT) is COUNT.
         F.count("transaction_id").alias("total_transactions"),
         F.countDistinct("customer_id").alias("unique_buyers"),
-        F.sum(cents("gross_revenue")).alias("__revenue_cents"),
+        F.sum(exact("gross_revenue")).alias("__revenue"),
         F.count(F.lit(1)).alias("__rows"),
         F.min("gross_revenue").alias("__min"),
         F.max("gross_revenue").alias("__max"),
-        F.sum(cents("discount_applied")).alias("__discount_cents"),
+        F.sum(exact("discount_applied")).alias("__discount"),
     )
     return agg.select(
         "product_id", "total_transactions", "unique_buyers",
-        money_from_cents("__revenue_cents").alias("total_revenue"),
-        money_avg_of_cents("__revenue_cents", "__rows").alias("avg_order_value"),
+        money("__revenue").alias("total_revenue"),
+        money_mean("__revenue", "__rows").alias("avg_order_value"),
         round_half_away("__min").alias("min_order_value"),
         round_half_away("__max").alias("max_order_value"),
-        money_from_cents("__discount_cents").alias("total_discount"),
+        money("__discount").alias("total_discount"),
     )
 
 
@@ -146,7 +146,7 @@ def fct_cohort_retention(int_customer_cohorts: DataFrame, fct_transactions: Data
     """
     tx = fct_transactions.groupBy("customer_id", month_start("transaction_timestamp").alias("order_month")).agg(
         F.count("transaction_id").alias("__orders"),
-        F.sum(cents("gross_revenue")).alias("__revenue_cents"),
+        F.sum(exact("gross_revenue")).alias("__revenue"),
     )
     cohorts = int_customer_cohorts.groupBy("customer_id", "cohort_month").agg(
         F.count(F.lit(1)).alias("__copies"))
@@ -156,10 +156,10 @@ def fct_cohort_retention(int_customer_cohorts: DataFrame, fct_transactions: Data
     agg = j.groupBy("cohort_month", "order_month", "months_since_signup").agg(
         F.count(F.lit(1)).alias("active_customers"),
         F.sum("__orders").alias("total_orders"),
-        F.sum(F.col("__revenue_cents") * F.col("__copies")).alias("__revenue_cents"),
+        F.sum(F.col("__revenue").cast("decimal(27,8)") * F.col("__copies").cast("decimal(10,0)")).alias("__revenue"),
     )
     return agg.select("cohort_month", "order_month", "months_since_signup", "active_customers", "total_orders",
-                      money_from_cents("__revenue_cents").alias("total_revenue"))
+                      money("__revenue").alias("total_revenue"))
 
 
 def fct_traffic_conversion(stg_events: DataFrame) -> DataFrame:

@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from marketspark.operators import (
     accepted_values_failures,
+    column_tests,
+    not_null_failures,
     null_counts,
+    orphan_count,
     relationships_failures,
     unique_failures,
 )
@@ -98,11 +101,27 @@ def dq_accepted_values(models: Mapping[str, DataFrame]) -> DataFrame:
 
 def dq_relationships(models: Mapping[str, DataFrame]) -> DataFrame:
     """Q4: child rows whose non-NULL key has no parent row."""
-    return _union([_row("relationships", m, c, _count(relationships_failures(models[m], c, models[pm], pc)))
+    return _union([_row("relationships", m, c, orphan_count(models[m], c, models[pm], pc))
                    for (m, c), (pm, pc) in RELATIONSHIPS.items()])
 
 
 def dq_report(models: Mapping[str, DataFrame]) -> DataFrame:
-    """Q5: all 37 tests in one summary frame, with a pass/fail status."""
-    allr = _union([dq_not_null(models), dq_unique(models), dq_accepted_values(models), dq_relationships(models)])
+    """Q5: all 37 tests in one summary frame, with a pass/fail status (one pass per model for Q1 and Q2)."""
+    parts = [column_tests(models[m], cols, UNIQUE.get(m)).select(
+        "test", F.lit(m).alias("model"), "column_name", "failures") for m, cols in NOT_NULL.items()]
+    allr = _union([*parts, dq_accepted_values(models), dq_relationships(models)])
     return allr.withColumn("status", F.when(F.col("failures") == 0, F.lit("pass")).otherwise(F.lit("fail")))
+
+
+def failing_rows(models: Mapping[str, DataFrame], test: str, model: str, column: str) -> DataFrame:
+    """The failing rows of one declared test (Q1-Q4), as ``operators.quality`` defines them."""
+    if test == "not_null" and column in NOT_NULL[model]:
+        return not_null_failures(models[model], column)
+    if test == "unique" and UNIQUE[model] == column:
+        return unique_failures(models[model], column)
+    if test == "accepted_values":
+        return accepted_values_failures(models[model], column, ACCEPTED_VALUES[model, column])
+    if test == "relationships":
+        parent, field = RELATIONSHIPS[model, column]
+        return relationships_failures(models[model], column, models[parent], field)
+    raise KeyError((test, model, column))

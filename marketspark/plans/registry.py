@@ -8,8 +8,6 @@ acts).  Reports with multi-select filters run unfiltered, except the
 
 from __future__ import annotations
 
-import os
-import weakref
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +17,7 @@ from marketspark.plans import reports as R
 from marketspark.plans.warehouse import INTERMEDIATE, MARTS, STAGING, build_models
 from marketspark.sources.fixtures import TRANSACTION_TIE_BREAK, raw_from_driver
 
-# Fixed selections for the filtered report queries (the same lists are used in
-# the oracle SQL).
+# Fixed selections for the filtered report queries.
 CUSTOMER_SELECTION = {
     "loyalty_tier": ("gold", "platinum", "unknown"),
     "country": ("United States", "Germany", "fr"),
@@ -35,25 +32,13 @@ CAMPAIGN_SELECTION = {
     "channel": ("email", "social", "display"),
     "objective": ("acquisition", "retention"),
 }
-# Month offsets of the cohort matrix columns (M0 .. M82).
-COHORT_MONTHS = tuple(range(0, 83))
 
 Models = Mapping[str, DataFrame]
 
 
-# Relation graphs already built, per session and data folder.  DataFrames are
-# immutable lazy plans, so queries over the same tables share their upstream
-# definitions instead of re-analysing them; weak keys drop a stopped session's.
-_GRAPHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
 def models_for(spark: SparkSession, sf_dir: str) -> Models:
     """All 20 relations over the driver tables in ``sf_dir`` (lazy, built on access)."""
-    per_session = _GRAPHS.setdefault(spark, {})
-    key = os.path.abspath(sf_dir)
-    if key not in per_session:
-        per_session[key] = build_models(raw_from_driver(spark, sf_dir), {"transactions": TRANSACTION_TIE_BREAK})
-    return per_session[key]
+    return build_models(raw_from_driver(spark, sf_dir), {"transactions": TRANSACTION_TIE_BREAK})
 
 
 def _customers(m: Models) -> DataFrame:
@@ -64,6 +49,10 @@ def _campaign_tx(m: Models) -> DataFrame:
     return R.campaign_transactions(m["fct_transactions"], m["dim_campaigns"])
 
 
+def _campaign_totals(m: Models) -> DataFrame:
+    return R.campaign_totals(m["fct_transactions"], m["dim_campaigns"])
+
+
 # Report name -> function of the model dict.
 REPORTS: dict[str, Callable[[Models], DataFrame]] = {
     "kpi_overview": lambda m: R.kpi_overview(m["dim_customers"]),
@@ -76,7 +65,7 @@ REPORTS: dict[str, Callable[[Models], DataFrame]] = {
     "loyalty_tier_counts": lambda m: R.loyalty_tier_counts(_customers(m)),
     "acquisition_mix": lambda m: R.acquisition_mix(_customers(m)),
     "revenue_by_acquisition": lambda m: R.revenue_by_acquisition(_customers(m)),
-    "cohort_matrix": lambda m: R.cohort_matrix(m["fct_cohort_retention"], COHORT_MONTHS),
+    "cohort_matrix": lambda m: R.cohort_matrix(m["fct_cohort_retention"]),
     "traffic_filtered": lambda m: R.traffic_filtered(m["fct_traffic_conversion"], **TRAFFIC_SELECTION),
     "traffic_monthly_filtered": lambda m: R.traffic_filtered(m["fct_traffic_monthly"], **TRAFFIC_SELECTION),
     "traffic_kpis": lambda m: R.traffic_kpis(m["fct_traffic_conversion"], m["stg_events"]),
@@ -99,12 +88,12 @@ REPORTS: dict[str, Callable[[Models], DataFrame]] = {
     "campaign_transactions": _campaign_tx,
     "campaigns_filtered": lambda m: R.campaigns_filtered(m["dim_campaigns"], **CAMPAIGN_SELECTION),
     "campaign_transactions_filtered": lambda m: R.campaigns_filtered(_campaign_tx(m), **CAMPAIGN_SELECTION),
-    "campaign_kpis": lambda m: R.campaign_kpis(m["dim_campaigns"], _campaign_tx(m)),
-    "revenue_by_channel": lambda m: R.revenue_by_channel(_campaign_tx(m)),
+    "campaign_kpis": lambda m: R.campaign_kpis(m["dim_campaigns"], _campaign_totals(m)),
+    "revenue_by_channel": lambda m: R.revenue_by_channel(_campaign_totals(m)),
     "objective_mix": lambda m: R.objective_mix(m["dim_campaigns"]),
-    "transactions_by_channel": lambda m: R.transactions_by_channel(_campaign_tx(m)),
+    "transactions_by_channel": lambda m: R.transactions_by_channel(_campaign_totals(m)),
     "segment_mix": lambda m: R.segment_mix(m["dim_campaigns"]),
-    "uplift_vs_revenue": lambda m: R.uplift_vs_revenue(m["dim_campaigns"], _campaign_tx(m)),
+    "uplift_vs_revenue": lambda m: R.uplift_vs_revenue(m["dim_campaigns"], _campaign_totals(m)),
 }
 
 QUALITY: dict[str, Callable[[Models], DataFrame]] = {

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from marketspark.functions import (
     capitalize,
     cents,
+    exact,
     money_from_cents,
     month_label,
     not_equal_keep_null,
@@ -70,6 +71,11 @@ def _money_mean(c: str, where: Column | None = None) -> Column:
     return F.try_divide(F.sum(cents(value)).cast("double"), F.count(value).cast("double")) / F.lit(100.0)
 
 
+def _ascending(df: DataFrame, value: str, *ties: str) -> DataFrame:
+    """Rows by ``value``, NULLs last, then by ``ties``."""
+    return df.orderBy(F.col(value).asc_nulls_last(), *ties)
+
+
 def _order_index(c: Column, order: Sequence[str]) -> Column:
     idx = F.lit(None).cast("int")
     for i, v in reversed(list(enumerate(order))):
@@ -177,16 +183,27 @@ def acquisition_mix(customers: DataFrame) -> DataFrame:
 
 
 def revenue_by_acquisition(customers: DataFrame) -> DataFrame:
-    """Gross revenue per acquisition channel (ascending when sorted by the caller)."""
-    return customers.where(F.col("acquisition_channel").isNotNull()).groupBy("acquisition_channel").agg(
-        _money_total("total_revenue").alias("total_revenue"))
+    """Gross revenue per acquisition channel, ascending."""
+    return _ascending(customers.where(F.col("acquisition_channel").isNotNull()).groupBy("acquisition_channel").agg(
+        _money_total("total_revenue").alias("total_revenue")), "total_revenue", "acquisition_channel")
 
 
-def cohort_matrix(fct_cohort_retention: DataFrame, months: Sequence[int] | None = None) -> DataFrame:
-    """Cohort month (yyyy-MM) x months since signup, revenue summed, gaps 0.
+def cohort_matrix(fct_cohort_retention: DataFrame) -> DataFrame:
+    """A row per cohort month (yyyy-MM) and month offset present, revenue summed, gaps 0.
 
-    Columns are ``M<offset>``; pass ``months`` for a fixed schema.
+    The cells of the page's pivot in long form: its columns are the offsets in
+    the data, however many there are.  ``cohort_matrix_wide`` spreads them.
     """
+    cells = fct_cohort_retention.where(F.col("cohort_month").isNotNull() & F.col("months_since_signup").isNotNull()).groupBy(
+        month_label("cohort_month").alias("cohort_month"), "months_since_signup").agg(F.sum(cents("total_revenue")).alias("__cents"))
+    offsets = cells.agg(F.sort_array(F.collect_set("months_since_signup"))).scalar()
+    grid = cells.select("cohort_month").distinct().withColumn("months_since_signup", F.explode(offsets))
+    return grid.join(cells, ["cohort_month", "months_since_signup"], "left").select(
+        "cohort_month", "months_since_signup", F.coalesce(money_from_cents("__cents"), F.lit(0.0)).alias("total_revenue"))
+
+
+def cohort_matrix_wide(fct_cohort_retention: DataFrame, months: Sequence[int] | None = None) -> DataFrame:
+    """R10 as a pivot: columns ``M<offset>`` of the offsets present (or of ``months``, to choose some)."""
     src = fct_cohort_retention.select(month_label("cohort_month").alias("cohort_month"),
                                       "months_since_signup", cents("total_revenue").alias("revenue_cents"))
     wide = pivot_sum(src, "cohort_month", "months_since_signup", "revenue_cents", months, fill=0,
@@ -241,17 +258,17 @@ def _rate_by_source(conversion: DataFrame, event_type: str, over_non_bounce: boo
         F.sum(base).alias("total"),
     )
     # Inner merge: only sources that have a row of this event type.
-    return g.where(F.col("__rows") > 0).select(
-        "traffic_source", "event_count", "total", share_pct("event_count", "total").alias("rate"))
+    return _ascending(g.where(F.col("__rows") > 0).select(
+        "traffic_source", "event_count", "total", share_pct("event_count", "total").alias("rate")), "rate", "traffic_source")
 
 
 def purchase_rate_by_source(conversion: DataFrame) -> DataFrame:
-    """Purchases / non-bounce events per source (%)."""
+    """Purchases / non-bounce events per source (%), ascending."""
     return _rate_by_source(conversion, "purchase", over_non_bounce=True)
 
 
 def bounce_rate_by_source(conversion: DataFrame) -> DataFrame:
-    """Bounces / all events per source (%)."""
+    """Bounces / all events per source (%), ascending."""
     return _rate_by_source(conversion, "bounce", over_non_bounce=False)
 
 
@@ -265,10 +282,10 @@ def event_mix(conversion: DataFrame, event_types: Sequence[str] | None = None) -
 
 
 def monthly_volume(monthly: DataFrame) -> DataFrame:
-    """Events per (yyyy-MM, source)."""
+    """Events per (yyyy-MM, source), by source and month."""
     return monthly.where(F.col("traffic_source").isNotNull() & F.col("event_month").isNotNull()).groupBy(
         month_label("event_month").alias("event_month"), "traffic_source",
-    ).agg(F.sum("event_count").alias("event_count"))
+    ).agg(F.sum("event_count").alias("event_count")).orderBy("traffic_source", "event_month")
 
 
 def experiment_summary(fct_experiment_groups: DataFrame) -> DataFrame:
@@ -321,28 +338,28 @@ def product_kpis(products: DataFrame) -> DataFrame:
 
 
 def revenue_by_category(products: DataFrame) -> DataFrame:
-    """Revenue per category."""
-    return products.where(F.col("category").isNotNull()).groupBy("category").agg(
-        _money_total("total_revenue").alias("total_revenue"))
+    """Revenue per category, ascending."""
+    return _ascending(products.where(F.col("category").isNotNull()).groupBy("category").agg(
+        _money_total("total_revenue").alias("total_revenue")), "total_revenue", "category")
 
 
 def aov_by_category(products: DataFrame) -> DataFrame:
-    """Unweighted mean of product average order value per category (zeros included)."""
-    return products.where(F.col("category").isNotNull()).groupBy("category").agg(
-        _money_mean("avg_order_value").alias("avg_order_value"))
+    """Unweighted mean of product average order value per category (zeros included), ascending."""
+    return _ascending(products.where(F.col("category").isNotNull()).groupBy("category").agg(
+        _money_mean("avg_order_value").alias("avg_order_value")), "avg_order_value", "category")
 
 
 def top20_products(products: DataFrame, k: int = 20) -> DataFrame:
-    """The k products with the highest revenue (> 0); ties broken by product_id."""
+    """The k products with the highest revenue (> 0); ties broken by product_id; shown ascending."""
     src = products.where(F.col("total_revenue") > 0).select(
         "product_id", "category", "brand", "base_price", "total_revenue")
-    return top_k(src, k, [F.col("total_revenue").desc(), F.col("product_id").asc()])
+    return _ascending(top_k(src, k, [F.col("total_revenue").desc(), F.col("product_id").asc()]), "total_revenue", "product_id")
 
 
 def discount_by_category(products: DataFrame) -> DataFrame:
-    """Discount total per category."""
-    return products.where(F.col("category").isNotNull()).groupBy("category").agg(
-        _money_total("total_discount").alias("total_discount"))
+    """Discount total per category, ascending."""
+    return _ascending(products.where(F.col("category").isNotNull()).groupBy("category").agg(
+        _money_total("total_discount").alias("total_discount")), "total_discount", "category")
 
 
 def price_vs_revenue(products: DataFrame) -> DataFrame:
@@ -377,32 +394,56 @@ def campaigns_filtered(frame: DataFrame, channel: Selection = None, objective: S
     return isin_filters(frame, channel=channel, objective=objective, target_segment=target_segment)
 
 
-def campaign_kpis(campaigns: DataFrame, transactions: DataFrame) -> DataFrame:
+def campaign_totals(fct_transactions: DataFrame, dim_campaigns: DataFrame, channel: Selection = None,
+                    objective: Selection = None, target_segment: Selection = None) -> DataFrame:
+    """Attributed transactions reduced per campaign, with the campaign's attributes (NULL if unmatched).
+
+    Facts are aggregated by campaign before the join, so no fact row is joined;
+    a selection (R30) is applied to the dimension first.  Columns: campaign_id,
+    channel, objective, target_segment, expected_uplift, revenue (exact),
+    transactions, flagged (rows with a refund flag), refunded.
+    """
+    t = fct_transactions.where(F.col("campaign_id").isNotNull() & (F.col("gross_revenue") > 0)).groupBy("campaign_id").agg(
+        F.sum(exact("gross_revenue")).alias("revenue"), F.count(F.lit(1)).alias("transactions"),
+        F.count("is_refunded").alias("flagged"), F.count_if("is_refunded").alias("refunded"))
+    c = campaigns_filtered(dim_campaigns, channel, objective, target_segment).select(
+        "campaign_id", "channel", "objective", "target_segment", "expected_uplift")
+    selected = any(s for s in (channel, objective, target_segment))
+    return t.join(c, "campaign_id", "inner" if selected else "left")
+
+
+def _exact_total(c: str) -> Column:
+    """Sum of exact money as a double; 0 for no rows."""
+    return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+
+
+def campaign_kpis(campaigns: DataFrame, totals: DataFrame) -> DataFrame:
     """Campaign KPIs (refund rate counts partial refunds only: full ones are not in the facts)."""
-    # One pass over the transactions for all three figures: a single scalar
+    # One pass over the campaign totals for all three figures: a single scalar
     # subquery returning a struct, bound to one column and then unpacked.
-    tx = transactions.agg(F.struct(
-        _money_total("gross_revenue").alias("revenue"),
-        F.count(F.lit(1)).alias("n"),
-        pct_or_zero(F.sum(F.col("is_refunded").cast("int")), F.count(F.col("is_refunded"))).alias("refund_rate"),
+    tx = totals.agg(F.struct(
+        _exact_total("revenue").alias("revenue"),
+        F.coalesce(F.sum("transactions"), F.lit(0).cast("bigint")).alias("n"),
+        pct_or_zero(F.sum("refunded"), F.sum("flagged")).alias("refund_rate"),
     )).scalar()
+    uplift = F.try_divide(F.sum(exact("expected_uplift")).cast("double"), F.count("expected_uplift").cast("double"))
     return campaigns.agg(
         F.countDistinct("campaign_id").alias("total_campaigns"),
         F.countDistinct("channel").alias("total_channels"),
-        (F.avg("expected_uplift") * F.lit(100.0)).alias("avg_expected_uplift"),
+        (uplift * F.lit(100.0)).alias("avg_expected_uplift"),
     ).select("*", tx.alias("__tx")).select(
         "total_campaigns", "total_channels",
         F.col("__tx.revenue").alias("total_attributed_revenue"),
         F.col("__tx.n").alias("total_transactions"),
-        round_half_away("avg_expected_uplift", 6).alias("avg_expected_uplift"),
+        "avg_expected_uplift",
         F.col("__tx.refund_rate").alias("refund_rate"),
     )
 
 
-def revenue_by_channel(transactions: DataFrame) -> DataFrame:
-    """Attributed revenue per channel (unmatched, NULL channel dropped)."""
-    return transactions.where(F.col("channel").isNotNull()).groupBy("channel").agg(
-        _money_total("gross_revenue").alias("gross_revenue"))
+def revenue_by_channel(totals: DataFrame) -> DataFrame:
+    """Attributed revenue per channel, ascending (unmatched, NULL channel dropped)."""
+    return _ascending(totals.where(F.col("channel").isNotNull()).groupBy("channel").agg(
+        _exact_total("revenue").alias("gross_revenue")), "gross_revenue", "channel")
 
 
 def _distinct_campaign_mix(campaigns: DataFrame, key: str) -> DataFrame:
@@ -417,10 +458,10 @@ def objective_mix(campaigns: DataFrame) -> DataFrame:
     return _distinct_campaign_mix(campaigns, "objective")
 
 
-def transactions_by_channel(transactions: DataFrame) -> DataFrame:
-    """Attributed transactions (non-NULL revenue) per channel."""
-    return transactions.where(F.col("channel").isNotNull()).groupBy("channel").agg(
-        F.count("gross_revenue").alias("transactions"))
+def transactions_by_channel(totals: DataFrame) -> DataFrame:
+    """Attributed transactions per channel, ascending."""
+    return _ascending(totals.where(F.col("channel").isNotNull()).groupBy("channel").agg(
+        F.sum("transactions").alias("transactions")), "transactions", "channel")
 
 
 def segment_mix(campaigns: DataFrame) -> DataFrame:
@@ -428,15 +469,13 @@ def segment_mix(campaigns: DataFrame) -> DataFrame:
     return _distinct_campaign_mix(campaigns, "target_segment")
 
 
-def uplift_vs_revenue(campaigns: DataFrame, transactions: DataFrame) -> DataFrame:
+def uplift_vs_revenue(campaigns: DataFrame, totals: DataFrame) -> DataFrame:
     """Per campaign, expected uplift (%) against attributed revenue.
 
     Campaigns without attributed revenue or uplift drop out (the page's
-    left merge + dropna), so the join is inner; revenue is pre-aggregated to
-    one row per campaign before it.
+    left merge + dropna), so the join is inner and of campaign rows only.
     """
-    rev = transactions.where(F.col("campaign_id").isNotNull()).groupBy("campaign_id").agg(
-        _money_total("gross_revenue").alias("attributed_revenue"))
+    rev = totals.groupBy("campaign_id").agg(_exact_total("revenue").alias("attributed_revenue"))
     c = campaigns.where(F.col("expected_uplift").isNotNull()).select(
         "campaign_id", "channel", "objective", "target_segment", "expected_uplift")
     return c.join(rev, "campaign_id", "inner").select(

@@ -8,7 +8,6 @@ are for scripts, tests and the bench.  On a cluster the session (and its
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -30,23 +29,6 @@ WAREHOUSE_CONF = {
 }
 
 
-def cluster_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
-                 max_partitions: int = 100_000) -> dict[str, str]:
-    """Shuffle sizing for a rebuild over ``input_bytes`` of raw data.
-
-    Starts with enough shuffle partitions for ~``target_partition_bytes`` per
-    reducer at the widest shuffle (the event dedupe moves about the whole
-    event table) and lets AQE coalesce the narrower ones; file splits stay at
-    the default 128 MB so scans get one task per split.
-    """
-    partitions = max(200, min(max_partitions, -(-input_bytes // target_partition_bytes)))
-    return {
-        "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(128 << 20),
-    }
-
-
 def get_or_create_session(
     master: str | None = None,
     app_name: str = "marketspark",
@@ -65,29 +47,18 @@ def get_or_create_session(
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only if unset.
-
-    On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is left alone.  Local runs and tests get a fresh scratch directory.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir`` (or set on the context); an error if there is none."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    else:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="marketspark-ckpt-"))
-    return sc.getCheckpointDir()
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("give a folder that all executors share, or name one in spark.checkpoint.dir")
+    return folder
 
 
 def scratch_root(spark: SparkSession, name: str) -> str:
-    """A folder for written intermediate tables, under the shared checkpoint dir."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, name)
+    """A folder for written intermediate tables, under the shared checkpoint folder."""
+    return os.path.join(checkpoint_dir(spark), name)

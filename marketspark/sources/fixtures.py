@@ -113,10 +113,11 @@ def raw_events(events: DataFrame) -> DataFrame:
 
 
 def raw_transactions(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    # Every line is a transaction; orders only contributes the customer key.
+    # Every line is a transaction; orders only contributes the customer key.  Every
+    # fifth customer's lines have no product and no revenue, so there are non-buyers.
     li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                          "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
-    od = orders.where("o_custkey % 5 <> 0").select("o_orderkey", "o_custkey")
+    od = orders.select("o_orderkey", "o_custkey")
     j = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     divisor = "CASE o_custkey % 5 WHEN 1 THEN 5000 WHEN 2 THEN 2000 ELSE 100 END"
     amount = f"CAST(floor(l_extendedprice*100 / {divisor}) AS DOUBLE)/100"
@@ -124,10 +125,10 @@ def raw_transactions(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         "l_orderkey*10+l_linenumber AS transaction_id",
         "l_shipdate AS timestamp",
         "o_custkey AS customer_id",
-        "CASE WHEN l_orderkey % 10 = 3 THEN NULL ELSE l_partkey END AS product_id",
+        "CASE WHEN l_orderkey % 10 = 3 OR o_custkey % 5 = 0 THEN NULL ELSE l_partkey END AS product_id",
         "CAST(l_quantity AS INT) AS quantity",
         "CAST(floor(l_extendedprice*l_discount) AS DOUBLE)/100 AS discount_applied",
-        f"CASE WHEN l_orderkey % 10 = 3 THEN NULL WHEN l_returnflag='R' AND l_linestatus='F' THEN -({amount})"
+        f"CASE WHEN l_orderkey % 10 = 3 OR o_custkey % 5 = 0 THEN NULL WHEN l_returnflag='R' AND l_linestatus='F' THEN -({amount})"
         f" ELSE {amount} END AS gross_revenue",
         "l_suppkey AS campaign_id",
         "CASE WHEN l_returnflag='R' AND (l_linestatus='F' OR l_linenumber=7) THEN 1 ELSE 0 END AS refund_flag",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,27 @@ def _conform_column(name: str, dtype: T.DataType, present: dict[str, T.DataType]
         return c.try_cast(dtype).alias(name)
     if isinstance(dtype, T.StringType):
         return c.cast("string").alias(name)
+    if isinstance(dtype, T.IntegralType) and isinstance(src, T.StringType):
+        return _integral(c, dtype).alias(name)
     return c.try_cast(dtype).alias(name)
 
 
+def _integral(c: Column, dtype: T.DataType) -> Column:
+    """Integer from text; integral decimal text (``12.0``) counts, by way of DECIMAL so that large ids stay exact."""
+    d = c.try_cast("decimal(38,10)")
+    return F.coalesce(c.try_cast(dtype), F.when(d == F.floor(d), F.floor(d).try_cast(dtype)))
+
+
+def rejected_values(table: str, df: DataFrame) -> DataFrame:
+    """(table_name, column_name, rejected): non-empty values of ``df`` that ``conform_raw`` has to read as NULL."""
+    present = {f.name: f.dataType for f in df.schema.fields}
+    known = [n for n in RAW_COLUMNS[table] if n in present]
+    lost = [F.count_if(F.col(n).isNotNull() & (F.trim(F.col(n).cast("string")) != "")
+                       & _conform_column(n, RAW_COLUMNS[table][n], present).isNull()).alias(n) for n in known]
+    return df.agg(*lost).unpivot([], known, "column_name", "rejected").select(
+        F.lit(table).alias("table_name"), "column_name", "rejected")
+
+
 def conform_raw(table: str, df: DataFrame, keep_extra: bool = True) -> DataFrame:
     """Project ``df`` onto the canonical raw schema of ``table``.
 
@@ -48,19 +67,30 @@ def read_raw(
 ) -> dict[str, DataFrame]:
     """Read ``<root>/<table>.<fmt>`` for each raw table (full replace semantics).
 
+    ``read_rejected`` counts the values that cannot be read as their column's type.
+
     CSV seeds are read by header name with every column as text (no schema
     inference pass over the files); ``conform_raw`` then casts by name, so
     column order in the file does not matter.  Parquet keeps its own types.
     """
-    out = {}
-    for t in tables:
-        path = os.path.join(root, f"{t}.{fmt}")
-        if fmt == "csv":
-            df = (spark.read.option("header", True).option("inferSchema", False)
-                  .option("mode", "PERMISSIVE").csv(path))
-        elif fmt == "parquet":
-            df = spark.read.parquet(path)
-        else:
-            raise ValueError(f"unsupported raw format: {fmt}")
-        out[t] = conform_raw(t, df)
-    return out
+    return {t: conform_raw(t, _read_file(spark, root, t, fmt)) for t in tables}
+
+
+def read_rejected(
+    spark: SparkSession,
+    root: str,
+    fmt: str = "csv",
+    tables: tuple[str, ...] = RAW_TABLES,
+) -> DataFrame:
+    """(table_name, column_name, rejected) over all raw tables, one pass per table."""
+    return reduce(DataFrame.unionByName, [rejected_values(t, _read_file(spark, root, t, fmt)) for t in tables])
+
+
+def _read_file(spark: SparkSession, root: str, table: str, fmt: str) -> DataFrame:
+    path = os.path.join(root, f"{table}.{fmt}")
+    if fmt == "csv":
+        return (spark.read.option("header", True).option("inferSchema", False)
+                .option("mode", "PERMISSIVE").csv(path))
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    raise ValueError(f"unsupported raw format: {fmt}")

@@ -7,11 +7,13 @@ values must all match exactly.
 import pytest
 
 import __spark_entry__ as entry
+from duckdb_oracle import oracle_queries
+from marketspark.plans.registry import all_queries
 from tests.parity import compare, duck_connection
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = all_queries()
+ORACLE = oracle_queries()
 
 
 @pytest.fixture(scope="module")
@@ -30,6 +32,32 @@ def test_query_matches_oracle(spark, con, key):
     assert res["ok"], res
 
 
+def test_the_oracle_stands_on_its_own():
+    """A constant or a rewrite broken in the library must show against the oracle."""
+    import pathlib
+
+    import duckdb_oracle
+
+    for f in pathlib.Path(duckdb_oracle.__file__).parent.glob("*.py"):
+        assert "marketspark" not in f.read_text(), f
+
+
+def test_a_broken_constant_turns_a_key_red(spark, con, monkeypatch):
+    from marketspark.plans import quality, registry
+
+    monkeypatch.setitem(registry.PRODUCT_SELECTION, "category", ("electronics", "home"))
+    assert not compare(QUERIES["products_filtered"](spark, SF), con, ORACLE["products_filtered"])["ok"]
+    monkeypatch.setitem(quality.ACCEPTED_VALUES, ("stg_events", "event_type"), ("view",))
+    assert not compare(QUERIES["dq_accepted_values"](spark, SF), con, ORACLE["dq_accepted_values"])["ok"]
+
+
+def test_raw_transactions_keep_every_line(spark, con):
+    from marketspark.sources import raw_from_driver
+
+    lines = con.execute("SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchone()[0]
+    assert raw_from_driver(spark, SF)["transactions"].count() == lines
+
+
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["cohort_month", "order_month", "months_since_signup", "active_customers",
