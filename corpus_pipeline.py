@@ -23,6 +23,9 @@ from marketspark.llm.language_id import UNDETERMINED, predict_language, train
 from marketspark.llm.near_dedup import drop_near_duplicates
 from marketspark.llm.piece_codec import encode_documents
 
+#: Hundredths of similarity from which the near stage links two documents; test_pipeline_against_brute_force fixes 85.
+NEAR_SHARE = 85
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents without a determined language go."""
@@ -39,7 +42,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: one document of each group of near copies stays."""
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, NEAR_SHARE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

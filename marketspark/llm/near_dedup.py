@@ -5,9 +5,9 @@
    parity sketch: bit i tells whether an odd number of shingles hash to i.
    Documents with equal sets form a class, which takes part once.
 2. Tokens that only one representative has can't collide; the others are joined
-   back.  A pair needs ``MIN_MATCHES`` collisions, so a representative with c
-   shared tokens is posted under its c - MIN_MATCHES + 1 rarest ones only
-   (prefix); with fewer than MIN_MATCHES shared tokens it is posted nowhere.
+   back.  A pair needs ``matches`` collisions, so a representative with c
+   shared tokens is posted under its c - matches + 1 rarest ones only
+   (prefix); with fewer than ``matches`` shared tokens it is posted nowhere.
 3. First pass: every posted document is paired with the smallest document of
    each list.  Linked pairs form components.  Second pass: documents of a list
    that are in different components are paired, in blocks of at most ``BLOCK``
@@ -19,9 +19,10 @@
    out: each shingle that only one of both sets has flips one bit, so sketches
    that differ in more bits than a link's sets may differ in shingles prove
    that there is no link.  For the rest collisions are counted by merging both
-   token lists, and pairs with MIN_MATCHES or more are confirmed on full sets.
+   token lists, and pairs with ``matches`` or more are confirmed on full sets.
 
-MIN_MATCHES follows from the link threshold: a pair of exactly the threshold's
+The link threshold is ``share`` hundredths of similarity, ``SHARE`` where none
+is given; ``matches`` follows from it: a pair of exactly the threshold's
 similarity has fewer collisions with a probability below ``MISS``.
 
 Shingles are compared by 64-bit hashes.  Defined cases: NULL or wordless text
@@ -62,8 +63,6 @@ def least_matches(trials: int, p: float, miss: float = MISS) -> int:
         t += 1
 
 
-MIN_MATCHES = least_matches(COORDINATES, SHARE / 100)
-
 _MASK = (1 << 64) - 1
 
 
@@ -174,22 +173,22 @@ def _hashes(text: Column) -> Column:
     return hashes(text)
 
 
-def _may_link() -> Column:
+def _may_link(share: int) -> Column:
     """Set sizes and parity sketches of a pair (x, y) do not rule a link out."""
     differing = [F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH)]
-    most = (F.col("x.n") + F.col("y.n")) * (100 - SHARE)
+    most = (F.col("x.n") + F.col("y.n")) * (100 - share)
     few = sum(differing[1:SKETCH // 4], differing[0])
-    return ((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * SHARE)
-            & (few * (100 + SHARE) <= most) & (sum(differing[1:], differing[0]) * (100 + SHARE) <= most))
+    return ((F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * share)
+            & (few * (100 + share) <= most) & (sum(differing[1:], differing[0]) * (100 + share) <= most))
 
 
-def _postings(reps: DataFrame) -> DataFrame:
+def _postings(reps: DataFrame, matches: int) -> DataFrame:
     """(token, doc, n, sketch, tokens): the prefix of each representative that can link."""
     pairs = reps.select("doc", F.explode("tokens").alias("token"))
     shared = written(pairs.groupBy("token").agg(F.count(F.lit(1)).alias("freq")).where("freq > 1"), "near-shared")
     ranked = pairs.join(shared, "token").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("freq", "token"))).alias("held"))
-    prefix = ranked.where(F.size("held") >= MIN_MATCHES).select(
-        "doc", F.expr(f"slice(held.token, 1, size(held) - {MIN_MATCHES - 1})").alias("prefix"))
+    prefix = ranked.where(F.size("held") >= matches).select(
+        "doc", F.expr(f"slice(held.token, 1, size(held) - {matches - 1})").alias("prefix"))
     return prefix.join(reps, "doc").select("doc", "n", "sketch", F.sort_array("tokens").alias("tokens"), "prefix")
 
 
@@ -197,15 +196,15 @@ def _pair(x: str = "x", y: str = "y") -> list[Column]:
     return [F.least(f"{x}.doc", f"{y}.doc").alias("a"), F.greatest(f"{x}.doc", f"{y}.doc").alias("b")]
 
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
+def _star_pairs(lists: DataFrame, share: int) -> DataFrame:
     """Each posted document with the smallest one of its list."""
     first = written(lists.groupBy("token").agg(F.min_by(F.struct("doc", "n", "sketch"), "doc").alias("f"))
                     .select("token", "f.*"), "near-first")
     return lists.alias("x").join(first.alias("y"), F.col("x.token") == F.col("y.token")) \
-        .where((F.col("x.doc") != F.col("y.doc")) & _may_link()).select(*_pair()).distinct()
+        .where((F.col("x.doc") != F.col("y.doc")) & _may_link(share)).select(*_pair()).distinct()
 
 
-def _cross_pairs(lists: DataFrame, member: DataFrame) -> DataFrame:
+def _cross_pairs(lists: DataFrame, member: DataFrame, share: int) -> DataFrame:
     """Pairs of each list that lie in different components, by blocks of the list.
 
     Prefixes are in one global order, and a pair is made in the list of their
@@ -225,23 +224,23 @@ def _cross_pairs(lists: DataFrame, member: DataFrame) -> DataFrame:
     right = posts.withColumn("to_block", other).select("token", F.col("to_block").alias("i"), F.col("block").alias("j"), *kept)
     same = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     return left.alias("x").join(right.alias("y"), same & (F.col("x.doc") < F.col("y.doc"))
-                                & (F.col("x.component") != F.col("y.component")) & _may_link()
+                                & (F.col("x.component") != F.col("y.component")) & _may_link(share)
                                 & (F.array_intersect("x.prefix", "y.prefix")[0] == F.col("x.token"))) \
         .select(*_pair()).distinct()
 
 
-def _confirmed(pairs: DataFrame, posted: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, posted: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """Pairs (a, b) with enough collisions whose full sets are similar enough."""
     pairs = written(pairs, "near-pairs")
     counted = pairs.join(posted.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a") \
         .join(posted.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b") \
-        .where(F.size(F.array_intersect("ta", "tb")) >= MIN_MATCHES).select("a", "b")
+        .where(F.size(F.array_intersect("ta", "tb")) >= least_matches(COORDINATES, share / 100)).select("a", "b")
     counted = written(counted, "near-counted")
     both = counted.join(sets.select(F.col("doc").alias("a"), F.col("hashes").alias("sa")), "a") \
         .join(sets.select(F.col("doc").alias("b"), F.col("hashes").alias("sb")), "b")
     common = both.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
     union = F.size("sa") + F.size("sb") - F.col("common")
-    return common.where(F.col("common") * 100 >= union * SHARE).select("a", "b")
+    return common.where(F.col("common") * 100 >= union * share).select("a", "b")
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
@@ -260,27 +259,27 @@ def representatives(signed: DataFrame) -> DataFrame:
         .withColumn("doc", F.xxhash64("set_digest")), "near-reps")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, reps: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) between classes, and (node, component) of linked ones."""
-    posted = written(_postings(reps), "near-posted")
+    posted = written(_postings(reps, least_matches(COORDINATES, share / 100)), "near-posted")
     lists = written(posted.select(F.explode("prefix").alias("token"), "doc", "n", "sketch", "prefix"), "near-lists")
     wanted = id_and_text(docs).join(posted.join(reps.select("doc", "class_id", "set_digest"), "doc")
                                     .select(F.col("class_id").alias("doc_id"), "set_digest", "doc"), "doc_id")
     # Hashed after the join (the condition on the digest would pull the function below it).
     hashed = written(wanted.select("doc", "set_digest", _hashes(F.col("text")).alias("h")), "near-sets")
     sets = hashed.where("h.set_digest = set_digest").select("doc", "h.hashes").dropDuplicates(["doc"])
-    star = written(_confirmed(_star_pairs(lists), posted, sets), "near-links")
+    star = written(_confirmed(_star_pairs(lists, share), posted, sets, share), "near-links")
     member = components(star)
-    cross = written(_confirmed(_cross_pairs(lists, member), posted, sets), "near-links")
+    cross = written(_confirmed(_cross_pairs(lists, member, share), posted, sets, share), "near-links")
     every = star.unionByName(cross)
     return every, components(every)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id of every row."""
     signed = signed_documents(docs)
     reps = representatives(signed)
-    _, member = links(docs, reps)
+    _, member = links(docs, reps, share)
     member = written(member, "near-members")
     least = member.join(reps, F.col("node") == F.col("doc")).groupBy("component").agg(F.min("class_id").alias("component_id"))
     linked = member.join(least, "component").select(F.col("node").alias("doc"), "component_id")
@@ -291,9 +290,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """Rows of ``docs`` whose doc_id is the smallest of its group, all columns kept."""
     names = docs.columns
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    kept = near_duplicates(docs, share).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
     whole = docs.select(F.struct(*names).alias("doc"), F.col("doc_id").cast("long").alias("__id"))
     return whole.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")), "left_semi").select("doc.*").select(*names)

@@ -189,6 +189,23 @@ def test_a_large_group_of_near_copies_is_not_paired_in_full(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == component
 
 
+def test_near_links_from_the_share_given(spark):
+    import corpus_pipeline
+
+    table = []
+    for g, changed in enumerate((2, 7, 10, 12, 20)):  # last words that the copy has otherwise
+        w = [f"g{g}w{i}" for i in range(104)]
+        table += [" ".join(w), " ".join(w[:104 - changed] + [f"n{g}x{i}" for i in range(changed)])]
+    d = spark.createDataFrame(rows(*table), SCHEMA)
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(100)} for t in table]
+    same = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert any(0.8 <= x < 0.85 for x in same) and any(x < 0.8 for x in same) and any(x >= 0.85 for x in same)
+    for share, left in ((80, near_dedup.drop_near_duplicates(d, 80)), (85, near_dedup.drop_near_duplicates(d)),
+                        (corpus_pipeline.NEAR_SHARE, corpus_pipeline.near(spark, d, SF))):
+        gone = {2 * i + 1 for i, x in enumerate(same) if x >= share / 100}
+        assert {r.doc_id for r in left.collect()} == set(range(len(table))) - gone
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
