@@ -5,7 +5,11 @@ per byte, so the last 16 bytes decide it).  A chunk ends where the hash is the
 maximum of ``REACH`` bytes to either side and the next byte starts a character;
 a chunk without such a place ends after ``MAX_CHUNK`` bytes.  The rule looks at
 nearby content alone, so an insertion moves the chunks behind it without
-changing them.
+changing them.  A stretch with a period of up to ``REACH`` bytes ('the the the')
+has no single maximum; it is cut at the greatest hash of a period and from there
+in blocks of whole periods of ``REACH`` bytes or more.  Blocks are numbered, up to
+``MAX_CHUNK`` bytes, and a number is part of the digest: of a stretch longer than
+the keeper's only as much as the keeper has is a duplicate.
 
 Chunks are compared by 64-bit digest.  The document of smallest doc_id keeps a
 chunk, the chunk in all others is a duplicate (with ``within``, so is each
@@ -61,40 +65,71 @@ def _ahead(h: np.ndarray, reach: int) -> np.ndarray:
     return np.maximum(padded[:len(h)], padded[rest:rest + len(h)])
 
 
-def chunk_ends(data: bytes) -> np.ndarray:
-    """End offsets of the chunks of a text's bytes, the last being its length."""
+def _blocks_of_stretches(tied: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and numbers of the blocks in periodic stretches; a stretch's first end has number 0.
+
+    ``tied`` are the places of the greatest hash of each period.
+    """
+    ends, numbers = [], []
+    for places in np.split(tied, np.flatnonzero(np.diff(tied) > REACH) + 1):
+        every = -(-REACH // int(places[1] - places[0])) if len(places) > 1 else 1
+        picked = places[::every]
+        size = int(picked[1] - picked[0]) if len(picked) > 1 else REACH
+        ends.append(picked + 1)
+        numbers.append(np.arange(len(picked)) if len(picked) < 2 else np.concatenate(
+            [[0], np.arange(len(picked) - 1) % (MAX_CHUNK // size) + 1]))
+    return np.concatenate(ends), np.concatenate(numbers)
+
+
+def _cuts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """End offsets of the chunks of a text's bytes, the last being its length, and their numbers in a periodic stretch."""
     if not data:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     raw = np.frombuffer(data, dtype=np.uint8)
     h = gear_hashes(raw)
     h[:-1][(raw[1:] & 0xC0) == 0x80] = 0  # no cut inside a character
-    peak = (h > _ahead(h, REACH)) & (h >= _ahead(h[::-1], REACH)[::-1])
-    ends = np.flatnonzero(peak) + 1
-    ends = ends if len(ends) and ends[-1] == len(raw) else np.append(ends, len(raw))
+    ahead = _ahead(h, REACH)
+    top = h >= _ahead(h[::-1], REACH)[::-1]
+    ends = np.flatnonzero((h > ahead) & top) + 1
+    numbers = np.zeros(len(ends), dtype=np.int64)
+    tied = np.flatnonzero((h == ahead) & top & (h > 0))
+    if len(tied):
+        more, their = _blocks_of_stretches(tied)
+        ends, numbers = np.concatenate([ends, more]), np.concatenate([numbers, their])
+        order = np.argsort(ends)
+        ends, numbers = ends[order], numbers[order]
+    if not len(ends) or ends[-1] != len(raw):
+        ends, numbers = np.append(ends, len(raw)), np.append(numbers, 0)
     lengths = np.diff(ends, prepend=0)
     if lengths.max() <= MAX_CHUNK:
-        return ends
-    out: list[int] = []
+        return ends, numbers
+    out: list[tuple[int, int]] = []
     start = 0
-    for end in ends.tolist():
+    for end, number in zip(ends.tolist(), numbers.tolist(), strict=True):
         while end - start > MAX_CHUNK:
             cut = start + MAX_CHUNK
             while raw[cut] & 0xC0 == 0x80:
                 cut -= 1
-            out.append(cut)
+            out.append((cut, 0))
             start = cut
-        out.append(end)
+        out.append((end, number))
         start = end
-    return np.array(out, dtype=np.int64)
+    return np.array([e for e, _ in out], dtype=np.int64), np.array([n for _, n in out], dtype=np.int64)
+
+
+def chunk_ends(data: bytes) -> np.ndarray:
+    """End offsets of the chunks of a text's bytes, the last being its length."""
+    return _cuts(data)[0]
 
 
 def chunks(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Chunk ends (byte offsets) and 64-bit digests."""
+    """Chunk ends (byte offsets) and 64-bit digests, seeded with the number in a periodic stretch."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    ends = chunk_ends(data)
+    ends, numbers = _cuts(data)
     digest = xxhash.xxh3_64_intdigest
     starts = [0, *ends.tolist()]
-    found = np.fromiter((digest(data[a:b]) for a, b in zip(starts, starts[1:], strict=False)), dtype=np.uint64, count=len(ends))
+    found = np.fromiter((digest(data[a:b], n) for a, b, n in zip(starts, starts[1:], numbers.tolist(), strict=False)),
+                        dtype=np.uint64, count=len(ends))
     return ends, found.view(np.int64)
 
 

@@ -101,6 +101,26 @@ def test_repeated_passages_are_caught_and_clean_documents_left(spark):
     assert all(kept[i] == found[i].text for i in found)
 
 
+def test_repeated_words_between_differing_texts_are_caught(spark):
+    r = random.Random(15)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(n))
+    table, long = [], {}
+    for unit in ("the", "lorem ipsum", "日本", "x-", "seven letters or more"):
+        for words in (300, 90):  # the second document holds less of it, then as much, then more
+            stretch = " ".join([unit] * words)
+            long[len(table)] = stretch
+            table += [f"{text(30)} {stretch} {text(30)}", f"{text(31)} {stretch} {text(29)}"]
+    d = spark.createDataFrame(rows(*table), SCHEMA)
+    found = {r.doc_id: r for r in substring_dedup.shortened(d).collect()}
+    assert set(found) == set(range(len(table))) - set(range(0, len(table), 4))
+    for i, row in found.items():
+        stretch = long[i - i % 2].encode()
+        assert len(stretch) - 200 <= row.removed_bytes <= len(stretch) + 60
+    short, more = f"{text(20)} {'the ' * 80}{text(20)}", f"{text(20)} {'the ' * 900}{text(20)}"
+    cut = [r.removed_bytes for r in substring_dedup.shortened(spark.createDataFrame(rows(short, more), SCHEMA)).collect()]
+    assert len(cut) == 1 and 150 < cut[0] <= 340  # no more than the first document holds
+
+
 # -------------------------------------------------------------- 2: token files
 
 def test_token_files_against_the_library(spark, docs, texts, odd):
