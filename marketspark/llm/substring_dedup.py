@@ -15,10 +15,12 @@ Chunks are compared by 64-bit digest.  The document of smallest doc_id keeps a
 chunk, the chunk in all others is a duplicate (with ``within``, so is each
 further place in one document); digests are counted
 with a partial aggregation, so a passage of very many documents is one row per
-task.  Runs of consecutive duplicate chunks of at least ``MIN_RUN`` bytes are
-removed.  A repeated passage of 50 words (about 275 bytes) holds such a run:
-what the chunks at its ends lose stays below 170 bytes in all but rare cases.
-A single line that many documents share is shorter and stays.
+task.  Runs of consecutive duplicate chunks are extended to both sides by the
+bytes that equal the keeper's there (the first place of the chunk in it, at most
+``NEAR`` bytes a side), as the ends of a passage share a chunk with other text.
+A run is removed, as extended, if its chunks have ``MIN_RUN`` bytes or it holds
+``MIN_WORDS`` words, so a repeated passage of that many words goes as soon as it
+holds one whole chunk.  A single line that many documents share is shorter and stays.
 
 Defined cases: NULL and empty texts have no chunk; rows that repeat a doc_id
 count as one document, so the first copy stays in each of them; a NULL doc_id
@@ -38,7 +40,8 @@ from pyspark.sql import functions as F
 
 from marketspark.llm.common import id_and_text, written
 
-REACH, MAX_CHUNK, MIN_RUN = 24, 4096, 100
+REACH, MAX_CHUNK = 24, 4096
+MIN_RUN, MIN_WORDS, NEAR = 100, 50, 256
 LAST_ID = (1 << 63) - 1
 GEAR = np.random.RandomState(1907).randint(0, 1 << 32, size=256, dtype=np.uint64).astype(np.uint32)
 
@@ -148,7 +151,7 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def _runs(doc_id: int, ends: np.ndarray, digests: np.ndarray, at: list[int], holders: list[int], within: bool):
-    """Removed runs [(start, end, holders)] of a document's duplicate chunks."""
+    """Runs [(start, end, holders, first, last)] of a document's duplicate chunks; first and last are chunk numbers."""
     seen: set[int] = set()
     gone: dict[int, int] = {}
     for pos, holder in sorted(zip(at, holders, strict=True)):
@@ -160,21 +163,78 @@ def _runs(doc_id: int, ends: np.ndarray, digests: np.ndarray, at: list[int], hol
     for pos in sorted(gone):
         start, end = int(ends[pos - 1]) if pos else 0, int(ends[pos])
         if out and out[-1][1] == start:
-            out[-1][1] = end
+            out[-1][1], out[-1][4] = end, pos
             out[-1][2].add(gone[pos])
         else:
-            out.append([start, end, {gone[pos]}])
-    return [(a, b, sorted(h)) for a, b, h in out if b - a >= MIN_RUN]
+            out.append([start, end, {gone[pos]}, pos, pos])
+    # What a document repeats of itself is not extended: it could reach into the place that stays.
+    edge = lambda pos: {"digest": int(digests[pos]), "holder": gone[pos]} if gone[pos] != doc_id else None
+    return ([{"start": a, "end": b, "kept_in": sorted(h)} for a, b, h, _, _ in out],
+            [edge(pos) for _, _, _, first, last in out for pos in (first, last)])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
+
+
+def _extended(data: bytes, start: int, end: int, before: bytes | None, after: bytes | None) -> tuple[int, int]:
+    """A run with the bytes to both sides that equal its keeper's, whole characters only."""
+    a = start - _common(data[max(0, start - NEAR):start][::-1], (before or b"")[::-1])
+    b = end + _common(data[end:end + NEAR], after or b"")
+    while a < start and data[a] & 0xC0 == 0x80:
+        a += 1
+    while end < b < len(data) and data[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, b
+
+
+def _removed(text: str | None, runs, near: dict[int, bytes]) -> list[tuple[int, int, list[int]]]:
+    """The runs that are long enough, as extended; those that meet are one."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    out: list[tuple[int, int, list[int]]] = []
+    for i, r in enumerate(runs):
+        a, b = _extended(data, r["start"], r["end"], near.get(2 * i), near.get(2 * i + 1))
+        if r["end"] - r["start"] < MIN_RUN and len(data[a:b].split()) < MIN_WORDS:
+            continue
+        kept_in = [int(h) for h in r["kept_in"]]
+        while out and out[-1][1] >= a:
+            x, y, h = out.pop()
+            a, b, kept_in = min(a, x), max(b, y), sorted({*kept_in, *h})
+        out.append((a, b, kept_in))
+    return out
+
+
+def _contexts(text: Column, digests: Column) -> Column:
+    """The bytes beside the first place of each of the given chunks."""
+
+    @F.pandas_udf("array<struct<digest: long, before: binary, after: binary>>")
+    def contexts(text: pd.Series, digests: pd.Series) -> pd.Series:
+        out = []
+        for t, wanted in zip(text, digests, strict=True):
+            data = (t or "").encode("utf-8", "surrogatepass")
+            ends, found = chunks(t)
+            left, beside = set(map(int, wanted)), []
+            for pos, d in enumerate(found.tolist()):
+                if d in left:
+                    left.discard(d)
+                    a, b = int(ends[pos - 1]) if pos else 0, int(ends[pos])
+                    beside.append({"digest": d, "before": data[max(0, a - NEAR):a], "after": data[b:b + NEAR]})
+            out.append(beside)
+        return pd.Series(out, dtype=object)
 
+    return contexts(text, digests)
 
+
+_CANDIDATES = ("runs array<struct<start: int, end: int, kept_in: array<long>>>, edges array<struct<digest: long, holder: long>>")
 _FOUND = "spans array<struct<start: int, end: int>>, kept_in array<long>, removed_bytes long"
 
 
-def repeats(docs: DataFrame, within: bool = False) -> DataFrame:
-    """doc_id, content, n_chunks, spans (byte offsets), kept_in, removed_bytes of documents with a removed run.
-
-    ``within`` also removes what a document repeats of itself.
-    """
+def _candidates(docs: DataFrame, within: bool) -> DataFrame:
+    """Written table: row, doc_id, content, n_chunks, runs and the chunks at their edges, of documents with a duplicate chunk."""
     table = chunked(docs)
     places = table.select("doc_id", "row", F.posexplode("digests").alias("pos", "digest"))
     shared = written(places.groupBy("digest").agg(F.min("doc_id").alias("holder"), F.count(F.lit(1)).alias("n"))
@@ -182,17 +242,44 @@ def repeats(docs: DataFrame, within: bool = False) -> DataFrame:
     hits = places.select("digest", "row", "pos").join(shared, "digest").groupBy("row") \
         .agg(F.collect_list("pos").alias("at"), F.collect_list("holder").alias("holders"))
 
-    @F.pandas_udf(_FOUND)
+    @F.pandas_udf(_CANDIDATES)
     def found(doc_id: pd.Series, ends: pd.Series, digests: pd.Series, at: pd.Series, holders: pd.Series) -> pd.DataFrame:
-        runs = [_runs(*x, within) for x in zip(doc_id, ends, digests, at, holders, strict=True)]
-        return pd.DataFrame({"spans": [[{"start": a, "end": b} for a, b, _ in r] for r in runs],
-                             "kept_in": [sorted({h for x in r for h in x[2]}) for r in runs],
-                             "removed_bytes": [sum(b - a for a, b, _ in r) for r in runs]})
+        both = [_runs(*x, within) for x in zip(doc_id, ends, digests, at, holders, strict=True)]
+        return pd.DataFrame({"runs": [r for r, _ in both], "edges": [e for _, e in both]})
 
     runs = table.join(hits, "row").withColumn("f", found("doc_id", "ends", "digests", "at", "holders"))
-    return runs.where("f.removed_bytes > 0").select(
-        F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id"), "content", "f.*",
-        F.size("ends").cast("long").alias("n_chunks"))
+    return written(runs.where(F.size("f.runs") > 0).select("row", "doc_id", "content", "f.*", F.size("ends").cast("long").alias("n_chunks"))
+                   .dropDuplicates(["doc_id", "content"]), "chunk-runs")
+
+
+def repeats(docs: DataFrame, within: bool = False) -> DataFrame:
+    """doc_id, content, n_chunks, text, spans (byte offsets), kept_in, removed_bytes of documents with a removed run.
+
+    ``within`` also removes what a document repeats of itself.
+    """
+    candidates = _candidates(docs, within)
+    d = id_and_text(docs)
+    edges = candidates.select("row", F.posexplode("edges").alias("edge", "e")).where("e IS NOT NULL").select("row", "edge", "e.*")
+    wanted = edges.select("digest", "holder").distinct().groupBy("holder").agg(F.collect_list("digest").alias("digests"))
+    beside = d.join(wanted, F.col("doc_id") == F.col("holder")).select(F.explode(_contexts(F.col("text"), F.col("digests"))).alias("c"))
+    beside = written(beside.groupBy("c.digest").agg(F.min(F.struct("c.before", "c.after")).alias("c")).select("digest", "c.*"), "chunk-beside")
+    near = edges.join(beside, "digest").select("row", "edge", F.when(F.col("edge") % 2 == 0, F.col("before")).otherwise(F.col("after")).alias("bytes")) \
+        .groupBy("row").agg(F.collect_list(F.struct("edge", "bytes")).alias("near"))
+    runs = candidates.join(near, "row", "left").select(
+        F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")).alias("doc_id"), "content", "n_chunks", "runs", "near")
+
+    @F.pandas_udf(_FOUND)
+    def removed(text: pd.Series, runs: pd.Series, near: pd.Series) -> pd.DataFrame:
+        out = [_removed(t, r, {x["edge"]: x["bytes"] for x in n} if n is not None else {})
+               for t, r, n in zip(text, runs, near, strict=True)]
+        return pd.DataFrame({"spans": [[{"start": a, "end": b} for a, b, _ in r] for r in out],
+                             "kept_in": [sorted({h for x in r for h in x[2]}) for r in out],
+                             "removed_bytes": [sum(b - a for a, b, _ in r) for r in out]})
+
+    d = d.withColumn("content", F.xxhash64("text"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.content") == F.col("r.content"))
+    found = d.alias("d").join(runs.alias("r"), same).select("d.doc_id", "d.content", "n_chunks", "d.text", removed("d.text", "runs", "near").alias("f"))
+    return found.where("f.removed_bytes > 0").select("doc_id", "content", "n_chunks", "text", "f.*")
 
 
 def _without(text: Column, spans: Column) -> Column:
@@ -214,18 +301,15 @@ def _without(text: Column, spans: Column) -> Column:
 
 def shortened(docs: DataFrame, within: bool = False) -> DataFrame:
     """doc_id, n_chunks, n_removed, removed_bytes, spans, kept_in, text (what stays) of documents with a removed run."""
-    found = written(repeats(docs, within), "chunk-repeats").dropDuplicates(["doc_id", "content"])
-    d = id_and_text(docs).withColumn("content", F.xxhash64("text"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.content") == F.col("f.content"))
-    return d.alias("d").join(found.alias("f"), same).select(
-        "f.doc_id", "n_chunks", F.size("spans").cast("long").alias("n_removed"), "removed_bytes", "spans", "kept_in",
-        _without(F.col("d.text"), F.col("f.spans")).alias("text"))
+    return repeats(docs, within).select(
+        "doc_id", "n_chunks", F.size("spans").cast("long").alias("n_removed"), "removed_bytes", "spans", "kept_in",
+        _without(F.col("text"), F.col("spans")).alias("text"))
 
 
 def remove_repeats(docs: DataFrame, within: bool = False) -> DataFrame:
     """``docs`` with the removed runs taken out of ``text``; every row and column stays."""
     names = docs.columns
-    cut = written(repeats(docs, within), "chunk-repeats").dropDuplicates(["doc_id", "content"]) \
+    cut = written(repeats(docs, within).drop("text"), "chunk-repeats").dropDuplicates(["doc_id", "content"]) \
         .select(F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("spans").alias("__spans"))
     whole = docs.select(F.struct(*names).alias("d"))
     same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("d.text").cast("string")) == F.col("__content"))

@@ -121,6 +121,28 @@ def test_repeated_words_between_differing_texts_are_caught(spark):
     assert len(cut) == 1 and 150 < cut[0] <= 340  # no more than the first document holds
 
 
+def test_passages_of_short_words_are_caught_whole(spark):
+    r = random.Random(16)
+    text = lambda n, a, b: " ".join("".join(r.choice("abcdefghijklmné") for _ in range(r.randint(a, b))) for _ in range(n))
+    table, passages = [], []
+    for _ in range(80):
+        passages.append(text(51, 2, 4))
+        table += [f"{text(30, 3, 8)} {passages[-1]} {text(30, 3, 8)}" for _ in range(2)]
+    line = text(20, 3, 8)
+    table += [f"{text(40, 3, 8)}\n{line}\n{text(40, 3, 8)}" for _ in range(2)]  # 20 words stay
+    d = spark.createDataFrame(rows(*table), SCHEMA)
+    found = {r.doc_id: r for r in substring_dedup.shortened(d).collect()}
+    assert set(found) == set(range(1, 160, 2))
+    for i, row in found.items():
+        data, (span,) = table[i].encode(), row.spans
+        a = data.index(passages[i // 2].encode())
+        assert a - 8 <= span.start <= a and a + len(passages[i // 2].encode()) <= span.end <= a + len(passages[i // 2].encode()) + 8
+        assert data[span.start:span.end] in table[i - 1].encode() and row.kept_in == [i - 1]
+        assert row.text.encode() == data[:span.start] + data[span.end:]
+    stays = {r.doc_id: r.text for r in substring_dedup.remove_repeats(d).collect()}
+    assert all(stays[i] == (found[i].text if i in found else t) for i, t in enumerate(table))
+
+
 # -------------------------------------------------------------- 2: token files
 
 def test_token_files_against_the_library(spark, docs, texts, odd):
