@@ -244,8 +244,8 @@ def _confirmed(pairs: DataFrame, posted: DataFrame, sets: DataFrame, share: int)
 
 
 def signed_documents(docs: DataFrame) -> DataFrame:
-    d = id_and_text(docs)
-    signed = d.withColumn("s", _signed(F.col("text"))).select("doc_id", "s.*")
+    d = id_and_text(docs).withColumn("content", F.xxhash64("text"))
+    signed = d.withColumn("s", _signed(F.col("text"))).select("doc_id", "content", "s.*")
     # A document with no shingle is a class of its own.
     lone = F.concat(F.lit("empty-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     return written(signed.withColumn("set_digest", F.coalesce("set_digest", lone)), "near-signed")
@@ -275,8 +275,8 @@ def links(docs: DataFrame, reps: DataFrame, share: int = SHARE) -> tuple[DataFra
     return every, components(every)
 
 
-def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_id of every row."""
+def _marked(docs: DataFrame, share: int) -> DataFrame:
+    """The columns of ``near_duplicates`` and content (hash of the text) of every row."""
     signed = signed_documents(docs)
     reps = representatives(signed)
     _, member = links(docs, reps, share)
@@ -286,13 +286,21 @@ def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
     classes = signed.where("doc_id IS NOT NULL").groupBy("set_digest").agg(F.min("doc_id").alias("class_id"))
     named = written(classes.withColumn("doc", F.xxhash64("set_digest")).join(linked, "doc", "left")
                     .select("set_digest", "class_id", F.coalesce("component_id", "class_id").alias("component_id")), "near-classes")
-    return signed.select("doc_id", "n_shingles", "set_digest").join(named, "set_digest", "left").select(
-        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id")
+    return signed.select("doc_id", "content", "n_shingles", "set_digest").join(named, "set_digest", "left").select(
+        "doc_id", "content", "n_shingles", "component_id",
+        F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "class_id")
+
+
+def near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, class_id of every row."""
+    return _marked(docs, share).drop("content")
 
 
 def drop_near_duplicates(docs: DataFrame, share: int = SHARE) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its group, all columns kept."""
+    """Rows of ``docs`` that are kept (found again by doc_id and text), all columns kept."""
     names = docs.columns
-    kept = near_duplicates(docs, share).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    whole = docs.select(F.struct(*names).alias("doc"), F.col("doc_id").cast("long").alias("__id"))
-    return whole.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id")), "left_semi").select("doc.*").select(*names)
+    kept = _marked(docs, share).where("kept").select(F.col("doc_id").alias("__kept_id"), F.col("content").alias("__kept_content")).distinct()
+    whole = docs.select(F.struct(*names).alias("doc"), F.col("doc_id").cast("long").alias("__id"),
+                        F.xxhash64(F.col("text").cast("string")).alias("__content"))
+    same = F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__content") == F.col("__kept_content"))
+    return whole.join(kept, same, "left_semi").select("doc.*").select(*names)

@@ -248,6 +248,13 @@ def test_near_links_from_the_share_given(spark):
         assert {r.doc_id for r in left.collect()} == set(range(len(table))) - gone
 
 
+def test_rows_of_one_id_are_kept_by_their_own_text(spark):
+    words = [f"w{i}" for i in range(100)]
+    a, close, b, c = " ".join(words), " ".join([*words[:99], "x"]), "another text without an id at all", "one more text of row five here"
+    d = spark.createDataFrame([(1, a), (None, a), (None, b), (5, close), (5, c)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in near_dedup.drop_near_duplicates(d).collect()} == {(1, a), (None, b), (5, c)}
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
