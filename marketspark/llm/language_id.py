@@ -14,7 +14,8 @@ ends at a lane's end, alike for every language), and all lanes and languages
 of a batch step through one transition table together.
 
 The training sample is bounded: per language at most ``TRAIN_DOCS`` documents
-(those of smallest hash) and together at most ``TRAIN_SYMBOLS`` symbols, or an
+(those of smallest hash; documents over ``TRAIN_CHARS`` characters only after all
+others, and of them the first ``TRAIN_CHARS``) and together at most ``TRAIN_SYMBOLS`` symbols, or an
 equal part of ``TOTAL_SYMBOLS`` where many languages are labelled.  Automata
 have at most two states per symbol, which bounds the table sent to the tasks.
 
@@ -193,10 +194,10 @@ def train(docs: DataFrame, label_col: str = "lang") -> CrossParser:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                     F.col(label_col).cast("string").alias("label"))
     d = d.where(F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
-                & F.length("text").between(1, TRAIN_CHARS))
+                & (F.col("text") != ""))
     # Ids first: the rank sorts narrow rows, and its partial limit leaves few of them to shuffle.
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit("language-sample")), "doc_id")
-    chosen = d.select("label", "doc_id").withColumn("rank", F.row_number().over(order)) \
+    order = Window.partitionBy("label").orderBy("long", F.xxhash64("doc_id", F.lit("language-sample")), "doc_id")
+    chosen = d.select("label", "doc_id", (F.length("text") > TRAIN_CHARS).alias("long")).withColumn("rank", F.row_number().over(order)) \
         .where(F.col("rank") <= TRAIN_DOCS).select("label", "doc_id").collect()
     texts: dict[str, list[str]] = {r["label"]: [] for r in chosen}
     ids = {r["doc_id"] for r in chosen}
@@ -204,7 +205,8 @@ def train(docs: DataFrame, label_col: str = "lang") -> CrossParser:
     pick = F.col("doc_id").isin(known) if known else F.lit(False)
     if None in ids:
         pick = pick | F.col("doc_id").isNull()
-    for r in sorted(d.where(pick).distinct().limit(2 * TRAIN_DOCS * max(1, len(texts))).collect(),
+    bounded = d.where(pick).withColumn("text", F.substring("text", 1, TRAIN_CHARS))
+    for r in sorted(bounded.distinct().limit(2 * TRAIN_DOCS * max(1, len(texts))).collect(),
                     key=lambda r: (r["label"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"])):
         texts[r["label"]].append(r["text"])
     return CrossParser(texts)

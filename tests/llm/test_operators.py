@@ -519,6 +519,16 @@ def test_language_of_held_out_documents(docs):
     assert sum(r.lang_pred == r.lang for r in held) >= 0.97 * len(held)
 
 
+def test_a_language_of_long_texts_alone_is_learnt(spark):
+    long = lambda words: " ".join([words] * (language_id.TRAIN_CHARS // len(words) + 2))
+    table = [(i, "the cat sat on the mat and the dog ran", "en") for i in range(8)]
+    table += [(i, long("el gato y el perro en la casa"), "es") for i in range(8, 16)]
+    d = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    parser = language_id.train(d)
+    assert parser.languages == ["en", "es"]
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(d, parser).collect()} == {i: lang for i, _, lang in table}
+
+
 def test_no_letters_is_undetermined(spark, docs):
     parser = language_id.train(docs)
     d = spark.createDataFrame(rows(None, "", "123 ... 45", "the of and the"), SCHEMA)
