@@ -81,6 +81,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketspark.llm.spelling_variants import variants
+
+    return variants(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -99,6 +105,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
         "op10_piece_codec": op10_piece_codec,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
 
