@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketspark.llm import exact_dedup
+from marketspark.llm import exact_dedup, source_divergence
 from marketspark.llm.common import read_table, scratch_path
 
 
@@ -81,6 +81,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketspark.llm.source_divergence import audit
+
+    return audit(read_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketspark.llm.spelling_variants import variants
 
@@ -105,6 +111,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_language_id": op9_language_id,
         "op10_piece_codec": op10_piece_codec,
+        "op11_source_divergence": op11_source_divergence,
         "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
@@ -112,4 +119,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def llm_oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {"op7_exact_dedup": exact_dedup.ORACLE, "op11_source_divergence": source_divergence.ORACLE}
