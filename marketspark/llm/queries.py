@@ -87,6 +87,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from marketspark.llm.vector_dedup import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from marketspark.llm.spelling_variants import variants
 
@@ -112,6 +118,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_piece_codec": op10_piece_codec,
         "op11_source_divergence": op11_source_divergence,
+        "op12_vector_dedup": op12_vector_dedup,
         "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
