@@ -30,10 +30,11 @@ item; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ FILL = 768
 #: Quadrant pairs that are expanded at once.
 FRONTIER = 1 << 16
 #: Distinct terms, and term counts, that a task holds before it hands its counts on.
-HELD, HELD_COUNTS = 400_000, 4_000_000
+HELD, HELD_COUNTS = 250_000, 1_000_000
+SLICE = 50_000
+COUNTED = ["lang", "source", "term", "n", "docs"]
 #: A-Z become a-z, all other characters below 0x80 but letters a space.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -76,44 +79,46 @@ class _Counts:
         self._keep(key, n, np.ones(len(key), dtype=np.int64))
 
     def _keep(self, key: np.ndarray, n: np.ndarray, docs: np.ndarray) -> None:
-        key, at = np.unique(key, return_inverse=True)
-        sums = [np.zeros(len(key), dtype=np.int64) for _ in range(2)]
-        for total, part in zip(sums, (n, docs), strict=True):
-            np.add.at(total, at, part)
-        self.parts.append((key, *sums))
-        self.held += len(key)
-
-    def rows(self) -> pd.DataFrame:
+        order = np.argsort(key, kind="stable")
+        key, n, docs = key[order], n[order], docs[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+        self.parts.append((key[first], np.add.reduceat(n, first), np.add.reduceat(docs, first)) if len(key) else (key, n, docs))
+        self.held += len(first)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
         parts, self.parts = self.parts, []
-        if parts:
-            self._keep(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-        key, n, docs = self.parts[0] if self.parts else (np.zeros(0, dtype=np.int64),) * 3
-        names, groups = [t.decode() for t in self.terms], list(self.groups)
-        lone = len(groups)  # each group once without a term, so that none is lost
-        out = pd.DataFrame({
-            "lang": [groups[g][0] for g in key >> 32] + [g[0] for g in groups],
-            "source": [groups[g][1] for g in key >> 32] + [g[1] for g in groups],
-            "term": [names[t] for t in key & 0xFFFFFFFF] + [None] * lone,
-            "n": n.tolist() + [0] * lone, "docs": docs.tolist() + [0] * lone})
+        self._keep(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
+        (key, n, docs), groups = self.parts[0], list(self.groups)
+        terms = pa.array([t.decode() for t in self.terms], type=pa.string())
+        langs, sources = (pa.array([g[i] for g in groups], type=pa.string()) for i in (0, 1))
+        for at in range(0, len(key), SLICE):
+            part = slice(at, at + SLICE)
+            group, term = pa.array(key[part] >> 32), pa.array(key[part] & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([langs.take(group), sources.take(group), terms.take(term), pa.array(n[part]),
+                                              pa.array(docs[part])], names=COUNTED)
+        # Each group once without a term, so that none is lost.
+        none = np.zeros(len(groups), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([langs, sources, pa.nulls(len(groups), pa.string()), pa.array(none), pa.array(none)], names=COUNTED)
         self.clear()
-        return out
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = _Counts()
     for batch in batches:
-        groups, texts = list(zip(batch["lang"], batch["source"], strict=True)), batch["text"].tolist()
+        langs, sources, texts = (batch.column(c).to_pylist() for c in ("lang", "source", "text"))
+        groups = list(zip(langs, sources, strict=True))
         for a, b in blocks(texts):
             counts.add(groups[a:b], texts[a:b])
             if len(counts.terms) > HELD or counts.held > HELD_COUNTS:
-                yield counts.rows()
-    yield counts.rows()
+                yield from counts.batches()
+    if counts.parts:
+        yield from counts.batches()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs); a row with a NULL term for each group."""
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return d.mapInPandas(_count, "lang string, source string, term string, n long, docs long") \
+    return d.mapInArrow(_count, "lang string, source string, term string, n long, docs long") \
         .groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -294,25 +299,27 @@ def _pair_values(row_blocks: DataFrame, col_blocks: DataFrame, tiles: DataFrame)
 
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value, rank."""
-    counts = written(term_counts(docs), "divergence-counts")
-    terms = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(
-        F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("held")) \
-        .where(F.col("docs") >= MIN_DOCS).drop("docs")
-    terms = written(terms, "divergence-kept")
-    size = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("total"))
-    columns = written(_placed(terms.join(size, "lang"), "v", "term", [F.desc("n"), F.col("term")], "cols", "col"), "divergence-columns")
-    held = columns.select("lang", "term", "n", "v", "total", "cols", "col", F.explode("held").alias("h"))
-    sums = held.groupBy("lang", F.col("h.source").alias("source")).agg(F.sum("h.n").alias("own"))
+    # What is not kept goes as soon as a term's counts stand together; rows without a term stand for their group.
+    of = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumns({"all_docs": F.sum("docs").over(of), "all_n": F.sum("n").over(of)})
+    counts = written(counts.where(F.col("term").isNull() | (F.col("all_docs") >= MIN_DOCS))
+                     .select("lang", "source", "term", "n", "all_n"), "divergence-counts")
+    held = counts.where("term IS NOT NULL")
+    terms = held.groupBy("lang", "term").agg(F.max("all_n").alias("all_n"))
+    size = written(terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all_n").alias("total")), "divergence-sizes")
+    columns = written(_placed(terms.join(size, "lang"), "v", "term", [F.desc("all_n"), F.col("term")], "cols", "col"), "divergence-columns")
+    sums = held.groupBy("lang", "source").agg(F.sum("n").alias("own"))
     groups = counts.where("term IS NULL").select("lang", "source")
     width = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
     groups = groups.join(width, "lang").join(size.select("lang", "v"), "lang", "left").join(sums, ["lang", "source"], "left") \
         .na.fill(0, ["v", "own"]).withColumn("base", F.col("own") + 2 * F.col("v"))
     groups = written(_placed(groups, "sources", "source", [F.col("source")], "rows", "row"), "divergence-groups")
 
-    cells = held.select("lang", F.col("h.source").alias("source"), "term", "cols", "col", F.col("h.n").alias("own_n"),
-                        share(F.col("n") + 2, F.col("total") + 2 * F.col("v")).alias("q")) \
+    cells = held.select("lang", "source", "term", "n") \
+        .join(columns.select("lang", "term", "cols", "col",
+                             share(F.col("all_n") + 2, F.col("total") + 2 * F.col("v")).alias("q")), ["lang", "term"]) \
         .join(groups.select("lang", "source", "rows", "row", "base"), ["lang", "source"]) \
-        .withColumn("p", share(F.col("own_n") + 2, F.col("base")))
+        .withColumn("p", share(F.col("n") + 2, F.col("base")))
     cells = written(cells.select("lang", "source", "term", "rows", "row", "cols", "col", "p", "q"), "divergence-cells")
 
     zero = F.when(F.col("v") > 0, share(F.lit(2), F.when(F.col("v") > 0, F.col("base")))).otherwise(F.lit(1))
