@@ -116,6 +116,7 @@ class _Counts:
             self.altered[word[:at] + word[at + 1:]] += 1
 
     def rows(self) -> pd.DataFrame:
+        # A run may be altered to a word that stands elsewhere as it is; Spark adds the counts up.
         found = [(w, n) for w, n in chain(zip(self.names, self.n.tolist(), strict=True), self.altered.items())
                  if n and len(w) >= MIN_LENGTH]
         self.clear()
@@ -130,7 +131,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             counts.add(ids[a:b], texts[a:b])
             if len(counts.names) > HELD:
                 yield counts.rows()
-    yield counts.rows()
+    if counts.names:
+        yield counts.rows()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -192,14 +194,14 @@ def _parity(word: str) -> int:
 def _posts(words: DataFrame) -> DataFrame:
     """(word, n, length, parity, gram, place): the rarest grams of each word, bound + 1 of them."""
     grams = written(words.withColumn("g", _decomposed(F.col("word"), gram_dictionary(words)))
-                    .select("word", "n", "g.grams", "g.bound", "g.parity"), "variant-grams")
+                    .select(F.monotonically_increasing_id().alias("id"), "word", "n", "g.grams", "g.bound", "g.parity"), "variant-grams")
     shared = written(grams.select(F.explode(F.array_distinct("grams")).alias("gram")).groupBy("gram")
                      .agg(F.count(F.lit(1)).alias("words")).where("words > 1"), "variant-shared")
-    places = grams.select("word", F.posexplode("grams").alias("place", "gram"))
-    ranked = places.join(shared, "gram").groupBy("word").agg(
+    places = grams.select("id", F.posexplode("grams").alias("place", "gram"))
+    ranked = places.join(shared, "gram").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("words", "gram", "place"))).alias("held"))
     least = F.size("grams") - F.col("bound")
-    return ranked.join(grams, "word").where(F.size("held") >= least).select(
+    return ranked.join(grams, "id").where(F.size("held") >= least).select(
         "word", "n", F.length("word").alias("length"), "parity",
         F.explode(F.slice("held", F.lit(1), F.size("held") - least + 1)).alias("p")).select(
         "word", "n", "length", "parity", "p.gram", "p.place")
