@@ -5,7 +5,9 @@ from marketspark.functions.expressions import (  # noqa: F401
     cents,
     clean_text,
     clean_text_or,
-    exact,
+    exact_sum,
+    exact_total,
+    merged_sum,
     money,
     money_from_cents,
     money_mean,

@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_MATCHES, _PART = "__matches", "__part"
+from marketspark.operators.skew import PART, spread_sides
 
+_MATCHES = "__matches"
 
-#: Parts a key's left rows are spread over.
-SPREAD = 32
+
+def match_counts(right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per non-NULL key with its number of rows; combines map-side."""
+    known = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    return right.select(*keys).where(known).groupBy(*keys).agg(F.count(F.lit(1)).alias(_MATCHES))
 
 
 def left_join_match_flag(
@@ -29,20 +33,16 @@ def left_join_match_flag(
 
     Instead of joining raw right rows (which sends every copy of a hot key to
     one task and builds all pairs there), the right side is first reduced to
-    one row per key with its match count; that aggregate combines map-side.
-    Left rows carry one of ``SPREAD`` parts, a hash of ``spread_by`` (a column
-    that differs between rows of a key), and the counts stand once per part, so
-    a hot key's rows are joined and copied in ``SPREAD`` tasks.
+    one row per key with its match count.  Left rows of a key that holds a
+    large share of them are dealt over several parts by a hash of ``spread_by``
+    (a column that differs between rows of a key), and only such a key's count
+    is copied to its parts (``operators.skew``).
     """
-    counts = (right.select(*keys).where(
-        F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)))
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias(_MATCHES)))
-    counts = counts.withColumn(_PART, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    spread = left.withColumn(_PART, F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int"))
-    joined = spread.join(counts, [*keys, _PART], "left") \
+    dealt, counts = spread_sides(left, match_counts(right, keys), keys, spread_by)
+    joined = dealt.join(counts, [*keys, PART], "left") \
         .withColumn(flag, F.when(F.col(_MATCHES).isNotNull(), F.lit(1)).otherwise(F.lit(0))) \
         .withColumn(_MATCHES, F.coalesce(F.col(_MATCHES), F.lit(1)))
-    return _repeat_rows(joined, _MATCHES).drop(_MATCHES, _PART)
+    return _repeat_rows(joined, _MATCHES).drop(_MATCHES, PART)
 
 
 _CHUNK = 4096

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.functions import exact, money, money_mean, month_start, pct_rounded
+from marketspark.functions import exact_sum, money, money_mean, month_start, pct_rounded
 from marketspark.operators import left_join_match_flag
 
 # Funnel step of each event type (bounces are exits, not a step;
@@ -58,10 +58,10 @@ def int_customer_orders(stg_transactions: DataFrame) -> DataFrame:
         F.count_if(valid).alias("__valid_rows"),
         F.count(F.when(valid, F.col("transaction_id"))).alias("total_orders"),
         F.sum(F.when(valid, F.col("quantity"))).alias("total_items"),
-        F.sum(F.when(valid, exact("gross_revenue"))).alias("__revenue"),
-        F.sum(F.when(valid, exact("discount_applied"))).alias("__discount"),
+        exact_sum(F.when(valid, F.col("gross_revenue"))).alias("__revenue"),
+        exact_sum(F.when(valid, F.col("discount_applied"))).alias("__discount"),
         F.count(F.when(refund, F.col("transaction_id"))).alias("__refund_count"),
-        F.sum(F.when(refund, exact(F.abs(F.col("gross_revenue"))))).alias("__refund"),
+        exact_sum(F.when(refund, F.abs(F.col("gross_revenue")))).alias("__refund"),
         F.min(F.when(valid, F.col("transaction_timestamp"))).alias("first_order_date"),
         F.max(F.when(valid, F.col("transaction_timestamp"))).alias("last_order_date"),
     )

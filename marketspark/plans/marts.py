@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketspark.functions import (
-    exact,
+    exact_sum,
+    merged_sum,
     money,
     money_mean,
     month_diff,
@@ -98,11 +99,11 @@ def product_revenue(stg_transactions: DataFrame) -> DataFrame:
         # transaction_id is unique after staging, so COUNT(DISTINCT) is COUNT.
         F.count("transaction_id").alias("total_transactions"),
         F.countDistinct("customer_id").alias("unique_buyers"),
-        F.sum(exact("gross_revenue")).alias("__revenue"),
+        exact_sum("gross_revenue").alias("__revenue"),
         F.count(F.lit(1)).alias("__rows"),
         F.min("gross_revenue").alias("__min"),
         F.max("gross_revenue").alias("__max"),
-        F.sum(exact("discount_applied")).alias("__discount"),
+        exact_sum("discount_applied").alias("__discount"),
     )
     return agg.select(
         "product_id", "total_transactions", "unique_buyers",
@@ -146,7 +147,7 @@ def fct_cohort_retention(int_customer_cohorts: DataFrame, fct_transactions: Data
     """
     tx = fct_transactions.groupBy("customer_id", month_start("transaction_timestamp").alias("order_month")).agg(
         F.count("transaction_id").alias("__orders"),
-        F.sum(exact("gross_revenue")).alias("__revenue"),
+        exact_sum("gross_revenue").alias("__revenue"),
     )
     cohorts = int_customer_cohorts.groupBy("customer_id", "cohort_month").agg(
         F.count(F.lit(1)).alias("__copies"))
@@ -156,7 +157,7 @@ def fct_cohort_retention(int_customer_cohorts: DataFrame, fct_transactions: Data
     agg = j.groupBy("cohort_month", "order_month", "months_since_signup").agg(
         F.count(F.lit(1)).alias("active_customers"),
         F.sum("__orders").alias("total_orders"),
-        F.sum(F.col("__revenue").cast("decimal(27,8)") * F.col("__copies").cast("decimal(10,0)")).alias("__revenue"),
+        merged_sum("__revenue", times="__copies").alias("__revenue"),
     )
     return agg.select("cohort_month", "order_month", "months_since_signup", "active_customers", "total_orders",
                       money("__revenue").alias("total_revenue"))

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from marketspark.functions import (
     capitalize,
     cents,
-    exact,
+    exact_sum,
+    exact_total,
+    merged_sum,
     money_from_cents,
     month_label,
     not_equal_keep_null,
@@ -404,7 +406,7 @@ def campaign_totals(fct_transactions: DataFrame, dim_campaigns: DataFrame, chann
     transactions, flagged (rows with a refund flag), refunded.
     """
     t = fct_transactions.where(F.col("campaign_id").isNotNull() & (F.col("gross_revenue") > 0)).groupBy("campaign_id").agg(
-        F.sum(exact("gross_revenue")).alias("revenue"), F.count(F.lit(1)).alias("transactions"),
+        exact_sum("gross_revenue").alias("revenue"), F.count(F.lit(1)).alias("transactions"),
         F.count("is_refunded").alias("flagged"), F.count_if("is_refunded").alias("refunded"))
     c = campaigns_filtered(dim_campaigns, channel, objective, target_segment).select(
         "campaign_id", "channel", "objective", "target_segment", "expected_uplift")
@@ -414,7 +416,7 @@ def campaign_totals(fct_transactions: DataFrame, dim_campaigns: DataFrame, chann
 
 def _exact_total(c: str) -> Column:
     """Sum of exact money as a double; 0 for no rows."""
-    return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
+    return F.coalesce(exact_total(merged_sum(c)), F.lit(0.0))
 
 
 def campaign_kpis(campaigns: DataFrame, totals: DataFrame) -> DataFrame:
@@ -426,7 +428,7 @@ def campaign_kpis(campaigns: DataFrame, totals: DataFrame) -> DataFrame:
         F.coalesce(F.sum("transactions"), F.lit(0).cast("bigint")).alias("n"),
         pct_or_zero(F.sum("refunded"), F.sum("flagged")).alias("refund_rate"),
     )).scalar()
-    uplift = F.try_divide(F.sum(exact("expected_uplift")).cast("double"), F.count("expected_uplift").cast("double"))
+    uplift = F.try_divide(exact_total(exact_sum("expected_uplift")), F.count("expected_uplift").cast("double"))
     return campaigns.agg(
         F.countDistinct("campaign_id").alias("total_campaigns"),
         F.countDistinct("channel").alias("total_channels"),
