@@ -3,10 +3,10 @@
 ``build_models`` returns every relation as a lazy DataFrame (the dependency
 graph is just function composition, resolved on first access).  ``build_all`` materialises it:
 
-* ``stg_events`` and ``stg_transactions`` are written once, because six and
-  three downstream models read them; each consumer then scans the written,
-  already deduplicated Parquet (with column pruning) instead of repeating the
-  dedupe shuffle.  Other staging and intermediate models stay lazy views.
+* the staging tables are written once, because downstream models and data tests
+  read them; each consumer then scans the written, already deduplicated Parquet
+  (with column pruning) instead of repeating the dedupe shuffle.  Intermediate
+  models stay lazy views.
 * the ten marts are written in dependency order; marts built on other marts
   (customer metrics, product conversion, cohort retention) read the written
   upstream table, which also cuts their lineage.
@@ -18,13 +18,15 @@ import os
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketspark.plans import intermediate as I
 from marketspark.plans import marts as M
+from marketspark.plans import quality as Q
 from marketspark.plans import staging as S
 from marketspark.session import scratch_root
-from marketspark.sources.sinks import materialise
+from marketspark.sources.sinks import materialise, table_records
 
 STAGING = ("stg_customers", "stg_campaigns", "stg_products", "stg_events", "stg_transactions")
 INTERMEDIATE = ("int_funnel_steps", "int_cart_activity", "int_customer_cohorts", "int_customer_orders",
@@ -118,32 +120,62 @@ def build_models(raw: Mapping[str, DataFrame],
     return Relations({**staging_builders(raw, tie_breaks), **DOWNSTREAM})
 
 
+def observed_figures(name: str) -> dict[str, Column]:
+    """What is observed while a model is written: figures of its data tests, and the columns of a later pivot."""
+    figures = Q.observed_figures(name)
+    if name == "fct_traffic_conversion":
+        figures["values:event_type"] = F.collect_set("event_type")  # one per event type, few
+    return figures
+
+
+def _folders(root: str) -> dict[str, str]:
+    return {**{n: os.path.join(root, "staging", n) for n in STAGING}, **{n: os.path.join(root, "marts", n) for n in MARTS}}
+
+
 def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str | None = None,
               tie_breaks: Mapping[str, Sequence[str]] | None = None,
-              shared_staging: Sequence[str] = ("stg_events", "stg_transactions")) -> dict[str, DataFrame]:
-    """Full rebuild: write shared staging and all marts under ``root``.
+              shared_staging: Sequence[str] = STAGING, version: str | None = None) -> dict[str, DataFrame]:
+    """Full rebuild: write the staging tables and all marts under ``root``.
 
     ``root`` must be a folder every executor can reach (on a cluster, the
     shared warehouse location, never a machine-local path); by default it is
     a ``warehouse`` folder under the session's ``spark.checkpoint.dir``.
     Returns all 20 relations; marts and shared staging are scans of the
     written Parquet tables.
+
+    Each table is replaced when its own write is complete (``sources.sinks``),
+    so a failed rebuild leaves readable tables.  With a ``version`` of the input
+    (``sources.input_version``), a table that stands complete for it is kept, so
+    the rebuild after a failure goes on where it stopped; code that changes a
+    model belongs into the version too.  What the data tests count is observed
+    on the way (``written_figures``).
     """
     if root is None:
         root = scratch_root(spark, "warehouse")
-    stg = staging_models(raw, tie_breaks)
-    for name in shared_staging:
-        stg[name] = materialise(spark, stg[name], os.path.join(root, "staging"), name)
 
-    def write_mart(name: str, df: DataFrame) -> DataFrame:
-        return materialise(spark, df, os.path.join(root, "marts"), name)
+    def write(layer: str, name: str, df: DataFrame) -> DataFrame:
+        return materialise(spark, df, os.path.join(root, layer), name, version=version, observe=observed_figures(name))
 
-    models = downstream_models(stg, on_mart=write_mart)
+    stg = staging_models(raw, tie_breaks)
+    for name in shared_staging:
+        stg[name] = write("staging", name, stg[name])
+    models = downstream_models(stg, on_mart=lambda name, df: write("marts", name, df))
     for name in MARTS:  # dependency order
         models[name]
     return {n: models[n] for n in models}
 
 
+def written_figures(spark: SparkSession, root: str | None = None) -> dict[str, Mapping]:
+    """By model, the figures observed when its present table was written."""
+    folders = _folders(scratch_root(spark, "warehouse") if root is None else root)
+    return {n: r.figures for n, r in table_records(spark, list(folders.values())).items()}
+
+
+def event_types(figures: Mapping[str, Mapping]) -> list[str]:
+    """The event types of the written traffic mart, for ``reports.event_mix`` without a job of its own."""
+    return sorted(figures["fct_traffic_conversion"]["values:event_type"])
+
+
 def cache_marts(models: Mapping[str, DataFrame], names: Sequence[str] = MARTS,
                 storage: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> dict[str, DataFrame]:
     """Keep loaded marts in executor memory for repeated report queries.
