@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import os
 import random
 import re
 import tempfile
-from decimal import Decimal
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from marketspark import session
+from marketspark.functions import exact_sum, exact_total, merged_sum
 from marketspark.operators import left_join_match_flag
+from marketspark.operators.joins import match_counts
+from marketspark.operators.skew import PART, heavy_keys, spread_sides
 from marketspark.plans import intermediate as I
 from marketspark.plans import marts as M
 from marketspark.plans import quality as Q
@@ -70,6 +73,32 @@ def test_hot_cart_key_is_joined_in_many_tasks(spark):
             spark.conf.set(k, v)
 
 
+def test_only_heavy_keys_are_copied(spark):
+    """Without skew no right row is copied; a key with a third of the rows gets parts in proportion, no other key does."""
+    even = spark.range(60_000).select(F.col("id").alias("event_id"), (F.col("id") % 20_000).alias("k"))
+    buys = match_counts(spark.range(20_000).select(F.col("id").alias("k")), ["k"])
+    left, right = spread_sides(even, buys, ["k"], "event_id")
+    assert right.count() == 20_000 and left.where(f"{PART} != 0").count() == 0
+    hot = even.withColumn("k", F.when(F.col("event_id") < 20_000, F.lit(7)).otherwise(F.col("k")))
+    left, right = spread_sides(hot, buys, ["k"], "event_id")
+    parts = {r.k: r.n for r in right.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").collect()}
+    assert set(parts) == {7} and 300 < parts[7] <= 400
+    dealt = left.where("k = 7").groupBy(PART).count().agg(F.count("*"), F.max("count")).first()
+    assert dealt[0] > 250 and dealt[1] < 200
+    # A NULL key can be heavy as well; its rows match nothing and are spread.
+    nulls = hot.withColumn("k", F.when(F.col("event_id") < 30_000, F.lit(None)).otherwise(F.col("k")).cast("long"))
+    out = left_join_match_flag(nulls, buys, ["k"], "hit", spread_by="event_id")
+    assert out.groupBy("hit").count().orderBy("hit").collect() == [(0, 30_000), (1, 30_000)]
+
+
+def test_every_heavy_key_of_a_wide_table_is_found(spark):
+    n = 400_000
+    keys = spark.range(n).select(F.when(F.col("id") % 5 == 0, F.col("id") % 100).otherwise(F.col("id") + 1000).alias("k"))
+    found = {r[0]: r[1] for r in heavy_keys(keys, ["k"]).collect()}
+    heavy = {r.h for r in keys.where("k < 100").select(F.xxhash64("k").alias("h")).distinct().collect()}
+    assert set(found) == heavy and set(found.values()) <= set(range(11, 13))  # 20 keys of 4,000 rows each
+
+
 # ---------------------------------------------------------------- no silent loss
 
 def test_integral_text_ids_are_read_exactly(spark):
@@ -99,13 +128,9 @@ def test_money_is_rounded_once_after_the_sum(spark):
     names = "transaction_id timestamp customer_id product_id quantity discount_applied gross_revenue campaign_id refund_flag".split()
     stg = S.stg_transactions(conform_raw("transactions", spark.createDataFrame(rows, names)))
     con = duckdb.connect()
-    con.execute("CREATE TABLE t (transaction_id BIGINT, ts TIMESTAMP, customer_id BIGINT, product_id BIGINT, quantity DOUBLE, "
-                "discount_applied DOUBLE, gross_revenue DOUBLE, campaign_id BIGINT, refund_flag DOUBLE)")
-    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?)", rows)
-    total = "round(CAST(sum(CAST({0} AS DECIMAL(28, 8))) AS DOUBLE), 2)"
-    for key, got in (("customer_id", I.int_customer_orders(stg)), ("product_id", M.product_revenue(stg))):
-        want = {k: (a, b) for k, a, b in con.execute(
-            f"SELECT {key}, {total.format('gross_revenue')}, {total.format('discount_applied')} FROM t GROUP BY 1").fetchall()}
+    cents = lambda values: con.execute("SELECT round(?, 2)", [math.fsum(values)]).fetchone()[0]
+    for key, at, got in (("customer_id", 2, I.int_customer_orders(stg)), ("product_id", 3, M.product_revenue(stg))):
+        want = {k: tuple(cents(x[i] for x in rows if x[at] == k) for i in (6, 5)) for k in {x[at] for x in rows}}
         assert {x[key]: (x.total_revenue, x.total_discount) for x in got.collect()} == want
     one = I.int_customer_orders(stg).where("customer_id = 99").first()
     assert (one.total_revenue, one.total_discount) == (30.02, 0.38)
@@ -113,8 +138,8 @@ def test_money_is_rounded_once_after_the_sum(spark):
         .selectExpr("*", "'o' AS objective", "'s' AS target_segment", "0.0123456 AS expected_uplift")
     facts = M.fct_transactions(stg)
     totals = R.campaign_totals(facts, dims)
-    sums = {c: float(sum(Decimal(str(x[6])) for x in rows if x[7] == c)) for c in (1, 2, 3)}
-    assert {x.channel: x.gross_revenue for x in R.revenue_by_channel(totals).collect()} == {"a": sums[1], "b": float(2 * Decimal(str(sums[2])))}
+    sums = {c: math.fsum(x[6] for x in rows if x[7] == c) for c in (1, 2)}
+    assert {x.channel: x.gross_revenue for x in R.revenue_by_channel(totals).collect()} == {"a": sums[1], "b": 2 * sums[2]}
     kpis = R.campaign_kpis(dims, totals).first()
     assert kpis.total_transactions == R.campaign_transactions(facts, dims).count()  # also with a campaign listed twice
     assert abs(kpis.avg_expected_uplift - 1.23456) < 1e-12
@@ -122,6 +147,22 @@ def test_money_is_rounded_once_after_the_sum(spark):
     assert {x.campaign_id for x in chosen.collect()} == {2}
 
 
+def test_exact_sums_equal_fsum(spark):
+    r = random.Random(31)
+    cases = [[1 / 3] * 3, [1e21, 1.0, -1e21], [10.005] * 3, [0.1] * 10, [-0.1] * 10, [0.0], [-5.0, 5.0], [1e-5] * 7, [-1e21, 0.5, 1 / 3],
+             [2.0 ** 53, 1.0, 1e-12], [2.0 ** 53, 1.0], [-(2.0 ** 53), -1.0, -(2.0 ** -40)], [1e28, 1e-10], [0.004] * 25]
+    cases += [[r.uniform(-1, 1) * 10 ** r.randint(-10, 20) for _ in range(r.randint(1, 50))] for _ in range(200)]
+    rows = [(i, x) for i, c in enumerate(cases) for x in c] + [(1000, float("inf")), (1000, 1.0), (1001, 1e40), (1001, 1e40), (1002, None)]
+    d = spark.createDataFrame(rows, "k int, x double")
+    got = {a.k: a.t for a in d.repartition(5).groupBy("k").agg(exact_sum("x").alias("s")).select("k", exact_total("s").alias("t")).collect()}
+    assert all(got[i] == math.fsum(c) for i, c in enumerate(cases))
+    assert (got[1000], got[1001], got[1002]) == (float("inf"), 2e40, None)
+    parts = d.where("k < 1000").groupBy("k", (F.col("x") > 0).alias("p")).agg(exact_sum("x").alias("s"))
+    thrice = parts.groupBy("k").agg(merged_sum("s", times=F.lit(3)).alias("s")).select("k", exact_total("s").alias("t"))
+    assert {a.k: a.t for a in thrice.collect()} == {i: math.fsum(c * 3) for i, c in enumerate(cases)}
+    assert "decimal(" not in parts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_campaign_reports_join_no_fact_row(spark, models):
     old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
     for k in old:
