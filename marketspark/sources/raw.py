@@ -67,11 +67,14 @@ def read_raw(
 ) -> dict[str, DataFrame]:
     """Read ``<root>/<table>.<fmt>`` for each raw table (full replace semantics).
 
-    ``read_rejected`` counts the values that cannot be read as their column's type.
+    ``read_rejected`` counts the values that cannot be read as their column's
+    type, and ``read_broken`` returns the records that are no rows of the table.
 
     CSV seeds are read by header name with every column as text (no schema
     inference pass over the files); ``conform_raw`` then casts by name, so
-    column order in the file does not matter.  Parquet keeps its own types.
+    column order in the file does not matter.  A quoted value may hold line
+    breaks, for which a file is read whole by one task: split large seeds into
+    several files of a folder.  Parquet keeps its own types.
     """
     return {t: conform_raw(t, _read_file(spark, root, t, fmt)) for t in tables}
 
@@ -86,11 +89,46 @@ def read_rejected(
     return reduce(DataFrame.unionByName, [rejected_values(t, _read_file(spark, root, t, fmt)) for t in tables])
 
 
+def read_broken(spark: SparkSession, root: str, tables: tuple[str, ...] = RAW_TABLES) -> DataFrame:
+    """(table_name, file, record): the text of each CSV record with too few or too many fields or a broken quote."""
+    return reduce(DataFrame.unionByName, [
+        _csv_records(spark, _file(root, t, "csv"))[0].where(F.col(_BROKEN).isNotNull())
+        .select(F.lit(t).alias("table_name"), F.col(_FILE).alias("file"), F.col(_BROKEN).alias("record")) for t in tables])
+
+
+_BROKEN, _FILE = "__broken", "__file"
+
+
+def _file(root: str, table: str, fmt: str) -> str:
+    return os.path.join(root, f"{table}.{fmt}")
+
+
+def _csv_records(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Records of a CSV table with all fields as text, and the field names; ``_BROKEN`` holds a record that is no row.
+
+    A quote that is never closed takes the lines behind it into its record.
+    Such a record (its quotes do not pair up) is read again line by line, so
+    the lines behind it are rows as they would be without it.
+    """
+    options = {"mode": "PERMISSIVE", "escape": '"', "columnNameOfCorruptRecord": _BROKEN}  # a quote is doubled within quotes
+    names = spark.read.options(header=True, multiLine=True, escape='"').csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BROKEN]])
+    read = spark.read.schema(schema).options(header=True, multiLine=True, **options).csv(path) \
+        .select(*[F.col(f"`{n}`") for n in [*names, _BROKEN]], F.col("_metadata.file_path").alias(_FILE))
+    text = F.col(_BROKEN)
+    quotes = F.length(text) - F.length(F.replace(text, F.lit('"')))
+    whole = F.array(F.struct(*[F.col(f"`{n}`") for n in [*names, _BROKEN]]))
+    lines = F.filter(F.split(text, "\r?\n"), lambda line: line != "")
+    fields = ", ".join(f"`{f.name}` string" for f in schema.fields)
+    again = F.transform(lines, lambda line: F.from_csv(line, fields, options))
+    records = read.select(_FILE, F.inline(F.when(text.isNotNull() & (quotes % 2 == 1), again).otherwise(whole)))
+    return records, names
+
+
 def _read_file(spark: SparkSession, root: str, table: str, fmt: str) -> DataFrame:
-    path = os.path.join(root, f"{table}.{fmt}")
     if fmt == "csv":
-        return (spark.read.option("header", True).option("inferSchema", False)
-                .option("mode", "PERMISSIVE").csv(path))
+        records, names = _csv_records(spark, _file(root, table, fmt))
+        return records.where(F.col(_BROKEN).isNull()).select(*[F.col(f"`{n}`") for n in names])
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return spark.read.parquet(_file(root, table, fmt))
     raise ValueError(f"unsupported raw format: {fmt}")
