@@ -12,7 +12,7 @@ A folder of token files holds two Parquet tables:
 
 Serialized ids are little-endian unsigned integers, two bytes wide where the
 vocabulary has at most 65,536 ids, else four.  Documents are range-partitioned
-by doc_id and sorted within the part; part numbers ascend with doc_id, so the
+by doc_id and the text's beginning, and sorted within the part; part numbers ascend with doc_id, so the
 position of a document in the whole id stream is (ids of earlier parts) + (ids
 of earlier blocks of its part) + (ids before it in its block).  Only the number
 of ids per part crosses between tasks.
@@ -31,8 +31,11 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -50,6 +53,8 @@ LEVEL = 3
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 16_384, 32 << 10
 #: Frames of a block together, in bytes (a larger single frame is a block of its own).
 BLOCK_BYTES = 1 << 20
+#: Characters of a text that take part in the range bounds.
+RANGE_CHARS = 64
 
 _SPLIT = re.compile("[ \n]+")
 #: Of lower-cased Latin-1 text: letters, or other characters with the letters behind them.  No token of the vocabulary's
@@ -63,13 +68,15 @@ BLOCK_SCHEMA = ("part int, block int, first_doc long, last_doc long, n_docs long
 class WordEncoder:
     """Whole-text ids through the tokenizers library, one call per distinct piece."""
 
-    def __init__(self, vocabulary: bytes, max_pieces: int = 800_000, max_piece_chars: int = 64):
+    def __init__(self, vocabulary: bytes, max_pieces: int = 600_000, max_piece_chars: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary.decode("utf-8"))
         self.size = self.library.get_vocab_size()
+        # Two generations of at most max_pieces each: pieces still in use pass from the older one to the newer.
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.max_pieces, self.max_piece_chars = max_pieces, max_piece_chars
 
     @staticmethod
@@ -92,19 +99,32 @@ class WordEncoder:
         for a, b in blocks(texts):
             cut = [self.pieces(t) for t in texts[a:b]]
             if len(self.memory) > self.max_pieces:
-                self.memory.clear()
-            memory = self.memory
-            fresh = list(set().union(*cut).difference(memory))
+                self.older, self.memory = self.memory, {}
+            memory, older = self.memory, self.older
+            unknown = set(filterfalse(memory.__contains__, chain.from_iterable(cut)))
+            kept = unknown & older.keys()
+            memory.update(zip(kept, map(older.__getitem__, kept), strict=True))
+            fresh = list(unknown - kept)
             encoded = self.library.encode_batch_fast(fresh, add_special_tokens=False)
             for p, e in zip(fresh, encoded, strict=True):
-                memory[p] = np.array(e.ids, dtype="<u4").tobytes()
+                memory[p] = _little_endian(e.ids)
             for pieces in cut:
-                yield b"".join([memory[p] for p in pieces])
+                yield b"".join(map(memory.__getitem__, pieces))
             for p in fresh:
                 if len(p) > self.max_piece_chars:
                     del memory[p]
 
 
+def _little_endian(ids: list[int]) -> bytes:
+    """As little-endian unsigned 32-bit integers."""
+    if sys.byteorder == "little" and _WORD.itemsize == 4:
+        return array("I", ids).tobytes()
+    return np.array(ids, dtype="<u4").tobytes()
+
+
+_WORD = array("I")
+
+
 _ENCODERS: dict[bytes, WordEncoder] = {}
 
 
@@ -199,7 +219,8 @@ def write_files(docs: DataFrame, path: str, vocabulary_path: str, end_id: int =
         if frames:
             yield block()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # A text's beginning splits a doc_id that very many rows repeat, and keeps the range bounds short.
+    ordered = docs.repartitionByRange(F.col("doc_id"), F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("doc_id", "text")
     ordered.mapInPandas(blocks, BLOCK_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
