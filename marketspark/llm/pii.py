@@ -85,10 +85,16 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _octets(address: str) -> bool:
+    """Every part is at most 255, with any number of leading zeros."""
+    parts = [p.lstrip("0") or "0" for p in address.split(".")]
+    return all(len(p) < 4 and int(p) <= 255 for p in parts)
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if _octets(m[0])]
     for m in _CARD.finditer(text):
         d = _digits(m[0])
         if 13 <= len(d) <= 19 and luhn(d):
