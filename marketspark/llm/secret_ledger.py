@@ -27,6 +27,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,9 +39,12 @@ RULES = [
     ("access", 1, r"AKIA[A-Z0-9]+", 16, 0),
     ("hex", 1, r"[0-9a-f]{32,}", 32, 0),
     ("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0),
-    ("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 1, 0),
+    # Begins at the first "eyJ" of its run of characters: a later one can't match where that one does not.
+    ("web_token", 1, r"(?<![A-Za-z0-9_-])(?>[A-Za-z0-9_-]*?(?=eyJ))(?P<span>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]+)", 1, 0),
     ("prefixed", 1, r"(?:ghp_|gho_|ghs_|glpat-|xox[abp]-)[A-Za-z0-9-]{16,}", 1, 0),
 ]
+#: Unseen blobs that are found among the texts by a broadcast of their hashes, about 10 MB.
+FEW_BLOBS = 100_000
 BASE = ["assign", "access", "hex"]
 ORDER = {name: i for i, (name, *_) in enumerate(RULES)}
 _SPAN = "struct<kind: string, start: long, end: long>"
@@ -61,9 +65,10 @@ def scan_text(text: str, rules: list[tuple], patterns: list[re.Pattern]) -> list
     out = []
     for rule, pattern in zip(rules, patterns, strict=True):
         name, _, _, least, group = rule
+        span = "span" if "span" in pattern.groupindex else 0
         for m in pattern.finditer(text):
             if m.end(group) - m.start(group) >= least:
-                out.append((rule_version(rule), name, m.start(), m.end()))
+                out.append((rule_version(rule), name, *m.span(span)))
     return out
 
 
@@ -74,10 +79,12 @@ class Ledger:
         self.spark, self.path, self.rules = spark, path.rstrip("/"), rules or RULES
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def scans(self) -> DataFrame:
         return self._table("scans", "blob string, rules array<string>")
@@ -86,14 +93,25 @@ class Ledger:
         return self._table("findings", "blob string, rule string, kind string, start long, end long")
 
     def pending(self, blobs: DataFrame) -> DataFrame:
-        """blob, content, todo: blobs that lack a current rule version, with those they lack."""
+        """blob, todo: blobs that lack a current rule version, with those they lack.  Only hashes are shuffled."""
         current = F.array(*[F.lit(rule_version(r)) for r in self.rules])
         seen = self.scans().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        one = blobs.groupBy("blob").agg(F.first("content").alias("content"))
-        left = one.join(seen, "blob", "left")
-        return left.select("blob", "content", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")) \
+        left = blobs.select("blob").distinct().join(seen, "blob", "left")
+        return left.select("blob", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")) \
             .where("size(todo) > 0")
 
+    def _unseen(self, blobs: DataFrame) -> DataFrame:
+        """blob, content, todo of what is to be scanned; seen texts are not shuffled.
+
+        What is to be scanned is found by hashes first.  If that is little, it is
+        sent to all tasks (``FEW_BLOBS`` checked rows of a hash); if it is more,
+        most texts are unseen, as in a first scan, and move once anyway.
+        """
+        todo = written(self.pending(blobs), "ledger-pending")
+        few = todo.limit(FEW_BLOBS + 1).count() <= FEW_BLOBS
+        texts = blobs.join(F.broadcast(todo.select("blob")), "blob", "left_semi") if few else blobs
+        return texts.groupBy("blob").agg(F.first("content").alias("content")).join(todo, "blob")
+
     def add(self, versions: DataFrame, text_col: str = "text") -> DataFrame:
         """Scan what is unseen of ``versions`` and append it; returns what was scanned (blob, rules, found)."""
         content = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -110,7 +128,7 @@ class Ledger:
                                   for x in scan_text(text, [r for r, _ in chosen], [p for _, p in chosen])])
                 yield pd.DataFrame({"blob": batch["blob"], "rules": batch["todo"], "found": found})
 
-        scanned = written(self.pending(blobs).mapInPandas(scan, _SCANNED), "ledger-increment")
+        scanned = written(self._unseen(blobs).mapInPandas(scan, _SCANNED), "ledger-increment")
         scanned.where("size(found) > 0").select("blob", F.explode("found").alias("f")).select("blob", "f.*") \
             .write.mode("append").parquet(f"{self.path}/findings")
         # Scans come last: an increment that breaks off is scanned again, and equal findings are read once.
