@@ -27,6 +27,7 @@ clashing names don't matter (``drop_contaminated`` keeps them).
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ from marketspark.llm.common import blocks, id_and_text
 Q, BUDGET = 10, 0.08
 BLOCK_CHARS = 2 << 20
 FILTER_BITS = 22
+#: Pairs of a place in a text and one in an item that are counted at once.
+PLACES = 1 << 21
 MATCHES = "array<struct<item_id: long, start: int, end: int, edits: int>>"
 
 _FOLD: list[np.ndarray] = []
@@ -95,6 +98,13 @@ def exact_grams(points: np.ndarray, positions: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _slices(n: np.ndarray) -> Iterator[slice]:
+    """Consecutive slices in which ``n`` adds up to about PLACES."""
+    ends = np.flatnonzero(np.diff(np.cumsum(n) // PLACES)) + 1
+    for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(n)], strict=True):
+        yield slice(a, b)
+
+
 class Block:
     """Index of some items: sorted q-grams with their (item, offset) places, and a bit filter."""
 
@@ -120,6 +130,8 @@ class Block:
         self.item, self.offset = item[order], offset[order]
         self.grams, self.first = np.unique(flat[order], return_index=True)
         self.last = np.append(self.first[1:], len(flat))
+        #: Least band width of the items that hold a q-gram.
+        self.reach = np.minimum.reduceat(self.step[self.item], self.first) if len(flat) else np.zeros(0, dtype=np.int64)
 
     def ready(self) -> Block:
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
@@ -139,20 +151,54 @@ class Block:
         pos, found = pos[hit], found[hit]
         if not len(pos):
             return []
-        n = self.last[found] - self.first[found]
-        place = np.repeat(self.first[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item = self.item[place]
-        band = (np.repeat(pos, n) - self.offset[place]) // self.step[item]
-        # A q-gram on diagonal band b counts for the wide bands b - 1 and b.
-        low = band.min() - 1
-        span = band.max() - low + 1
-        key = item * span + (band - low)
-        # The item's q-grams count, not their repeats in the text.
+        # Of the places of a q-gram that lie within the least band width of its items, the first and the last are
+        # on all the diagonal bands that the others are on, whatever its offset in an item.
+        cell = pos // self.reach[found]
+        order = np.lexsort((pos, found))
+        pos, found, cell = pos[order], found[order], cell[order]
+        new = np.concatenate([[True], (found[1:] != found[:-1]) | (cell[1:] != cell[:-1])])
+        ends = np.flatnonzero(new | np.append(new[1:], True))
+        pos, found = pos[ends], found[ends]
         longest = int(self.length.max())
-        keys = np.unique(np.concatenate([key, key - 1]) * longest + np.tile(self.offset[place], 2)) // longest
-        keys, counts = np.unique(keys, return_counts=True)
-        good = counts >= self.bound[keys // span]
-        return [(int(k // span), int(k % span + low)) for k in keys[good]]
+        low = min(0, int(pos.min()) - longest) - 1
+        span = int(pos.max()) - low + 2
+        out: list[tuple[int, int]] = []
+        for first, last, place_item, place_offset in self._item_groups(found):
+            keys = [self._keys(pos[at], found[at], first, last, place_item, place_offset, low, span, longest)
+                    for at in _slices((last - first)[found])]
+            # The item's q-grams count, not their repeats in the text.
+            held, counts = np.unique(np.unique(np.concatenate(keys)) // longest, return_counts=True)
+            good = counts >= self.bound[held // span]
+            out += [(int(k // span), int(k % span + low)) for k in held[good]]
+        return sorted(out)
+
+    def _item_groups(self, found: np.ndarray):
+        """(first, last, item, offset): the places of each q-gram, for some items at a time.
+
+        Items are taken together up to about ``PLACES`` pairs of a place in the text and one in an item.
+        """
+        uses = np.bincount(found, minlength=len(self.grams))
+        pairs = np.bincount(self.item, weights=np.repeat(uses, self.last - self.first), minlength=len(self.ids))
+        part = (np.cumsum(pairs) // PLACES).astype(np.int64)
+        parts = np.unique(part[pairs > 0])
+        if len(parts) == 1:
+            yield self.first, self.last, self.item, self.offset
+            return
+        of = part[self.item]
+        for g in parts:
+            held = of == g
+            before = np.concatenate([[0], np.cumsum(held)])
+            yield before[self.first], before[self.last], self.item[held], self.offset[held]
+
+    def _keys(self, pos, found, first, last, place_item, place_offset, low, span, longest) -> np.ndarray:
+        """Distinct (item, wide band, offset) of some places in the text, as one number each."""
+        n = last[found] - first[found]
+        place = np.repeat(first[found] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        item, offset = place_item[place], place_offset[place]
+        band = (np.repeat(pos, n) - offset) // self.step[item]
+        # A q-gram on diagonal band b counts for the wide bands b - 1 and b.
+        key = np.unique((item * span + (band - low)) * longest + offset)
+        return np.concatenate([key, key - longest])
 
     def search(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) of each contaminated region, the best per overlap."""
@@ -164,10 +210,11 @@ class Block:
                 out.setdefault(i, []).append((hit[2], hit[0] + a, hit[1] + a))
         found = [(int(i), 0, len(points), 0) for i, p in self.short if len(p) == len(points) and (p == points).all()]
         for i, regions in out.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # in order, without overlaps
             for edits, a, b in sorted(regions):
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
+                at = bisect_left(taken, (a, b))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+                    taken.insert(at, (a, b))
                     found.append((int(self.ids[i]), a, b, edits))
         return sorted(found)
 
