@@ -175,7 +175,7 @@ def test_word_pieces_equal_whole_text_encoding():
 
 # ---------------------------------------------------------------- 3: near dedup
 
-def brute_components(texts: dict[int, str]) -> tuple[dict[int, int], dict[int, int]]:
+def brute_components(texts: dict[int, str], share=85) -> tuple[dict[int, int], dict[int, int]]:
     sets = {}
     for d, t in texts.items():
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -191,7 +191,7 @@ def brute_components(texts: dict[int, str]) -> tuple[dict[int, int], dict[int, i
         for b in sets:
             if a < b and sets[a] and sets[b]:
                 common = len(sets[a] & sets[b])
-                if 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+                if 100 * common >= share * (len(sets[a]) + len(sets[b]) - common):
                     x, y = sorted((find(a), find(b)))
                     up[y] = x
     return {d: find(d) for d in sets}, {d: len(s) for d, s in sets.items()}
@@ -576,7 +576,7 @@ def test_pipeline_against_brute_force(spark, docs, texts):
     for d, t in kept.items():
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append(d)
     kept = {d: texts[d] for d in (min(g, key=lambda d: (-len(texts[d]), d)) for g in groups.values())}
-    component, _ = brute_components(kept)
+    component, _ = brute_components(kept, share=80)
     kept = {d: t for d, t in kept.items() if component[d] == d}
     bench = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     fold = lambda t: re.sub(r"\s", " ", t.lower())
