@@ -23,8 +23,8 @@ from marketspark.llm.language_id import UNDETERMINED, predict_language, train
 from marketspark.llm.near_dedup import drop_near_duplicates
 from marketspark.llm.piece_codec import encode_documents
 
-#: Hundredths of similarity from which the near stage links two documents; test_pipeline_against_brute_force fixes 85.
-NEAR_SHARE = 85
+#: Hundredths of similarity from which the near stage links two documents.
+NEAR_SHARE = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
