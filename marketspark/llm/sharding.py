@@ -7,13 +7,12 @@ by remaining capacity; the smallest capacity at which the wanted number of bins
 suffices is searched.  A group above the mean shard size gets a shard of its
 own, and the rest is packed into the others.
 
-The packing itself works on a bounded list whatever the table's size: groups
-above 1/``LARGE`` of a mean shard are items themselves (at most shards x LARGE
-can exist); all smaller groups are put by hash into shards x ``BUNDLES``
-bundles, each one item.  The item list is the only thing the driver sees, and
-the item-to-shard maps are broadcast under the same bound.  Slots come from a
-range partitioning by (shard, doc_id): rows are numbered inside each part, and
-the row counts of earlier parts of the shard are added.
+All groups are packed by their own size, at any size of the table.  Equal sizes
+share one entry of the agenda: what the driver holds is the list of distinct
+sizes with their counts, at most as many as the largest group has bytes, and a
+size's entry names the bins that its groups enter and how many each.  Groups are
+ranked within their size, and rows within their shard, by a range partitioning:
+they are numbered inside each part, and the counts of earlier parts are added.
 
 Defined cases: NULL text has size 16 and forms a group of its own (as does the
 empty text, which is another text); rows that repeat are equal texts and share
@@ -23,6 +22,7 @@ a shard; a NULL doc_id sorts first; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark import TaskContext
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from marketspark.llm.common import id_and_text, written
 
 SHARDS, OVERHEAD = 40, 16
-LARGE, BUNDLES = 1024, 256
 #: Capacities are searched from the mean upward to this relative precision.
 PRECISION = 1e-4
 
@@ -109,61 +108,83 @@ class CapacityTree:
         return found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, bins: int) -> list[int] | None:
-    """Bin of each item (``sizes`` in decreasing order), or None if ``bins`` don't suffice."""
+Runs = list[tuple[int, int]]
+
+
+def best_fit_runs(sizes: list[int], counts: list[int], capacity: int, bins: int) -> list[Runs] | None:
+    """(items, bin) runs of each size, or None if ``bins`` don't suffice; ``counts`` items of each of the falling ``sizes``.
+
+    The tightest bin for an item stays the tightest one for the next of equal
+    size as long as it can hold it, so equal items enter it together.
+    """
     tree, opened, out = CapacityTree(), 0, []
-    for size in sizes:
-        key = tree.tightest(size)
-        if key is None:
-            if opened == bins or size > capacity:
-                return None
-            key, opened = (capacity, opened), opened + 1
-        else:
-            tree.remove(key)
-        out.append(key[1])
-        tree.insert((key[0] - size, key[1]))
+    for size, count in zip(sizes, counts, strict=True):
+        runs: Runs = []
+        while count:
+            key = tree.tightest(size)
+            if key is None:
+                if opened == bins or size > capacity:
+                    return None
+                key, opened = (capacity, opened), opened + 1
+            else:
+                tree.remove(key)
+            n = min(count, key[0] // size)
+            runs.append((n, key[1]))
+            tree.insert((key[0] - n * size, key[1]))
+            count -= n
+        out.append(runs)
     return out
 
 
-def pack(items: list[tuple[int, object]], bins: int) -> dict:
-    """Item key -> bin, sizes near equal; items are (size, key)."""
-    items = sorted(items, key=lambda x: (-x[0], str(x[1])))
-    out: dict = {}
-    rest = sum(s for s, _ in items)
-    first = 0
-    while items and bins - first > 1 and items[0][0] * (bins - first) > rest:
-        size, key = items.pop(0)  # above the mean of what is left: a bin of its own
-        out[key], first, rest = first, first + 1, rest - size
-    if not items:
+def best_fit_decreasing(sizes: list[int], capacity: int, bins: int) -> list[int] | None:
+    """Bin of each item (``sizes`` in decreasing order), or None if ``bins`` don't suffice."""
+    runs = best_fit_runs(sizes, [1] * len(sizes), capacity, bins)
+    return None if runs is None else [r[0][1] for r in runs]
+
+
+def pack(sizes: list[int], counts: list[int], bins: int) -> list[Runs]:
+    """The runs of each of the falling ``sizes``, the bins' sums near equal."""
+    sizes, left = list(sizes), list(counts)
+    out: list[Runs] = [[] for _ in sizes]
+    rest = sum(s * n for s, n in zip(sizes, left, strict=True))
+    first = at = 0
+    while at < len(sizes) and bins - first > 1 and sizes[at] * (bins - first) > rest:
+        out[at].append((1, first))  # above the mean of what is left: a bin of its own
+        first, rest, left[at] = first + 1, rest - sizes[at], left[at] - 1
+        at += left[at] == 0
+    if at == len(sizes):
         return out
-    sizes, n = [s for s, _ in items], bins - first
+    sizes, left, n = sizes[at:], left[at:], bins - first
     least = max(sizes[0], -(-rest // n))
     step, slack, low = PRECISION, 0.0, 0.0
-    while (found := best_fit_decreasing(sizes, int(least * (1 + slack)), n)) is None:
+    while (found := best_fit_runs(sizes, left, int(least * (1 + slack)), n)) is None:
         low, slack, step = slack, slack + step, step * 2
     while slack - low > PRECISION:
         middle = (low + slack) / 2
-        better = best_fit_decreasing(sizes, int(least * (1 + middle)), n)
+        better = best_fit_runs(sizes, left, int(least * (1 + middle)), n)
         low, slack, found = (low, middle, better) if better is not None else (middle, slack, found)
-    out.update((key, first + b) for (_, key), b in zip(items, found, strict=True))
+    for i, runs in enumerate(found, at):
+        out[i] += [(items, first + b) for items, b in runs]
     return out
 
 
-def _bundle(shards: int):
-    return F.pmod(F.xxhash64("digest"), F.lit(shards * BUNDLES)).cast("int")
-
+def group_shards(rows: DataFrame, shards: int) -> DataFrame:
+    """(digest, shard) of each group of equal texts.
 
-def group_shards(rows: DataFrame, shards: int) -> tuple[DataFrame, DataFrame]:
-    """Two bounded maps: digest -> shard of large groups, bundle -> shard of the others."""
-    spark = rows.sparkSession
+    Groups of one size are interchangeable, so the driver packs the list of
+    distinct sizes with their counts, and groups enter the bins of their size in
+    the order of their digests.
+    """
     groups = written(rows.groupBy("digest").agg(F.sum("size").alias("size")), "shard-groups")
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    large = F.col("size") * (shards * LARGE) > total
-    alone = groups.where(large).select("size", "digest").collect()  # at most shards x LARGE rows
-    bundles = groups.where(~large).groupBy(_bundle(shards).alias("bundle")).agg(F.sum("size").alias("size")).collect()
-    packed = pack([(r["size"], r["digest"]) for r in alone] + [(r["size"], r["bundle"]) for r in bundles], shards)
-    return (spark.createDataFrame([(r["digest"], packed[r["digest"]]) for r in alone], "digest string, own_shard int"),
-            spark.createDataFrame([(r["bundle"], packed[r["bundle"]]) for r in bundles], "bundle int, bundle_shard int"))
+    histogram = groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("size", ascending=False)
+    packed = pack(histogram["size"].tolist(), histogram["n"].tolist(), shards)
+    runs = [(size, [{"until": int(until), "shard": b} for until, (_, b) in zip(accumulate(n for n, _ in of), of, strict=True)])
+            for size, of in zip(histogram["size"].tolist(), packed, strict=True)]
+    bins = written(rows.sparkSession.createDataFrame(pd.DataFrame(runs, columns=["size", "runs"]),
+                                                     "size long, runs array<struct<until: long, shard: int>>"), "shard-sizes")
+    ranked = number_rows(groups, "size", ["digest"])
+    return written(ranked.join(bins, "size").select("digest", F.filter("runs", lambda r: r["until"] > F.col("slot"))[0]["shard"]
+                                                    .alias("shard")), "shard-groups")
 
 
 def number_rows(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -184,9 +205,9 @@ def number_rows(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     placed = written(ordered.mapInPandas(number, schema), "shard-rows")
     earlier = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # A row per part and group in it: range parts and groups overlap in parts + groups rows at most.
-    starts = placed.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n")).select(
-        group, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    return placed.join(F.broadcast(starts), [group, "part"]).withColumn("slot", F.col("before") + F.col("inner")) \
+    starts = written(placed.groupBy(group, "part").agg(F.count(F.lit(1)).alias("n")).select(
+        group, "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "shard-starts")
+    return placed.join(starts, [group, "part"]).withColumn("slot", F.col("before") + F.col("inner")) \
         .drop("part", "inner", "before")
 
 
@@ -197,10 +218,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2(text, 256), F.lit("null")).alias("digest")), "shard-input")
-    alone, bundles = group_shards(rows, shards)
-    placed = rows.withColumn("bundle", _bundle(shards)).join(F.broadcast(alone), "digest", "left") \
-        .join(F.broadcast(bundles), "bundle", "left") \
-        .select("doc_id", "size", "text_crc32", F.coalesce("own_shard", "bundle_shard").alias("shard"))
+    # Both sides are plain reads: a text that very many rows share is split by the skew join.
+    placed = rows.join(group_shards(rows, shards), "digest").select("doc_id", "size", "text_crc32", "shard")
     return number_rows(placed, "shard", ["doc_id", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
