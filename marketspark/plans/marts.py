@@ -20,6 +20,7 @@ from marketspark.functions import (
     pct_rounded,
     round_half_away,
 )
+from marketspark.operators import distinct_state
 
 ORDER_METRICS = ("total_orders", "total_items", "total_revenue", "avg_order_value", "total_discount",
                  "total_refund_count", "total_refund_value", "first_order_date", "last_order_date")
@@ -163,6 +164,16 @@ def fct_cohort_retention(int_customer_cohorts: DataFrame, fct_transactions: Data
                       money("__revenue").alias("total_revenue"))
 
 
+def agg_event_customers(stg_events: DataFrame) -> DataFrame:
+    """Customers of the events as mergeable distinct states, per source, month, event type and experiment group.
+
+    Any distinct customer count over these columns (R12, R13; the counts of the
+    traffic and experiment marts equal its merges) is had from it without an event row.
+    """
+    d = stg_events.withColumn("event_month", month_start("event_timestamp"))
+    return distinct_state(d, ["traffic_source", "event_month", "event_type", "experiment_group"], "customer_id")
+
+
 def fct_traffic_conversion(stg_events: DataFrame) -> DataFrame:
     """Events and distinct customers per (traffic source, event type), with the source's share.
 

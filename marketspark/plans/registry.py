@@ -68,8 +68,8 @@ REPORTS: dict[str, Callable[[Models], DataFrame]] = {
     "cohort_matrix": lambda m: R.cohort_matrix(m["fct_cohort_retention"]),
     "traffic_filtered": lambda m: R.traffic_filtered(m["fct_traffic_conversion"], **TRAFFIC_SELECTION),
     "traffic_monthly_filtered": lambda m: R.traffic_filtered(m["fct_traffic_monthly"], **TRAFFIC_SELECTION),
-    "traffic_kpis": lambda m: R.traffic_kpis(m["fct_traffic_conversion"], m["stg_events"]),
-    "unique_event_customers": lambda m: R.unique_event_customers(m["stg_events"]),
+    "traffic_kpis": lambda m: R.traffic_kpis(m["fct_traffic_conversion"], m["agg_event_customers"]),
+    "unique_event_customers": lambda m: R.unique_customers(m["agg_event_customers"]),
     "purchase_rate_by_source": lambda m: R.purchase_rate_by_source(m["fct_traffic_conversion"]),
     "bounce_rate_by_source": lambda m: R.bounce_rate_by_source(m["fct_traffic_conversion"]),
     "event_mix": lambda m: R.event_mix(m["fct_traffic_conversion"]),

@@ -31,7 +31,7 @@ from marketspark.functions import (
     round_half_away,
     share_pct,
 )
-from marketspark.operators import isin_filters, pivot_sum, top_k, unpivot_long
+from marketspark.operators import isin_filters, merged_distinct, pivot_sum, top_k, unpivot_long
 
 Selection = Iterable[str] | None
 
@@ -234,7 +234,12 @@ def unique_event_customers(stg_events: DataFrame, approx_rsd: float | None = Non
     return stg_events.agg(F.countDistinct("customer_id").alias("unique_customers"))
 
 
-def traffic_kpis(conversion: DataFrame, stg_events: DataFrame) -> DataFrame:
+def unique_customers(event_customers: DataFrame) -> DataFrame:
+    """R13 from the written states of ``marts.agg_event_customers``: no event row is read."""
+    return merged_distinct(event_customers, [], "unique_customers")
+
+
+def traffic_kpis(conversion: DataFrame, event_customers: DataFrame) -> DataFrame:
     """Total events, unique customers, purchase rate over non-bounce events, bounce rate."""
     et = F.col("event_type")
     total = F.coalesce(F.sum("event_count"), F.lit(0).cast("bigint"))
@@ -242,7 +247,7 @@ def traffic_kpis(conversion: DataFrame, stg_events: DataFrame) -> DataFrame:
     bounces = F.coalesce(F.sum(F.when(et == "bounce", F.col("event_count"))), F.lit(0).cast("bigint"))
     non_bounce = F.coalesce(F.sum(F.when(not_equal_keep_null(et, "bounce"), F.col("event_count"))),
                             F.lit(0).cast("bigint"))
-    unique = unique_event_customers(stg_events).scalar()
+    unique = unique_customers(event_customers).scalar()
     return conversion.agg(
         total.alias("total_events"),
         pct_or_zero(purchases, non_bounce).alias("purchase_rate"),

@@ -36,6 +36,8 @@ Builder = Callable[[Mapping[str, DataFrame]], DataFrame]
 MARTS = ("dim_customers", "dim_products", "dim_campaigns", "fct_transactions", "fct_customer_metrics",
          "fct_product_conversion", "fct_cohort_retention", "fct_traffic_conversion", "fct_traffic_monthly",
          "fct_experiment_groups")
+#: Written like marts, beside the 20 relations: states that reports merge.
+STATES = ("agg_event_customers",)
 
 
 class Relations(Mapping[str, DataFrame]):
@@ -56,7 +58,7 @@ class Relations(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
             df = self._builders[name](self)
-            if self._on_mart is not None and name in MARTS:
+            if self._on_mart is not None and name in (*MARTS, *STATES):
                 df = self._on_mart(name, df)
             self._built[name] = df
         return self._built[name]
@@ -94,6 +96,7 @@ DOWNSTREAM: dict[str, Builder] = {
     "fct_customer_metrics": lambda m: M.fct_customer_metrics(m["dim_customers"]),
     "fct_product_conversion": lambda m: M.fct_product_conversion(m["dim_products"], m["stg_transactions"]),
     "fct_cohort_retention": lambda m: M.fct_cohort_retention(m["int_customer_cohorts"], m["fct_transactions"]),
+    "agg_event_customers": lambda m: M.agg_event_customers(m["stg_events"]),
     "fct_traffic_conversion": lambda m: M.fct_traffic_conversion(m["stg_events"]),
     "fct_traffic_monthly": lambda m: M.fct_traffic_monthly(m["stg_events"]),
     "fct_experiment_groups": lambda m: M.fct_experiment_groups(m["stg_events"]),
@@ -129,7 +132,8 @@ def observed_figures(name: str) -> dict[str, Column]:
 
 
 def _folders(root: str) -> dict[str, str]:
-    return {**{n: os.path.join(root, "staging", n) for n in STAGING}, **{n: os.path.join(root, "marts", n) for n in MARTS}}
+    return {**{n: os.path.join(root, "staging", n) for n in STAGING},
+            **{n: os.path.join(root, "marts", n) for n in (*MARTS, *STATES)}}
 
 
 def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str | None = None,
@@ -140,8 +144,8 @@ def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str | Non
     ``root`` must be a folder every executor can reach (on a cluster, the
     shared warehouse location, never a machine-local path); by default it is
     a ``warehouse`` folder under the session's ``spark.checkpoint.dir``.
-    Returns all 20 relations; marts and shared staging are scans of the
-    written Parquet tables.
+    Returns all 20 relations and the states; marts and shared staging are scans
+    of the written Parquet tables.
 
     Each table is replaced when its own write is complete (``sources.sinks``),
     so a failed rebuild leaves readable tables.  With a ``version`` of the input
@@ -160,7 +164,7 @@ def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str | Non
     for name in shared_staging:
         stg[name] = write("staging", name, stg[name])
     models = downstream_models(stg, on_mart=lambda name, df: write("marts", name, df))
-    for name in MARTS:  # dependency order
+    for name in (*MARTS, *STATES):  # dependency order
         models[name]
     return {n: models[n] for n in models}
 

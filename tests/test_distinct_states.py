@@ -1,0 +1,58 @@
+"""Mergeable exact distinct counts: equal to COUNT(DISTINCT) over any of their columns."""
+
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from marketspark.operators import distinct_state, merged_distinct
+from marketspark.plans import marts as M
+from marketspark.plans import reports as R
+from marketspark.plans.registry import models_for
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    return models_for(spark, SF)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("keys", [[], ["a"], ["b"], ["a", "b"]])
+def test_merged_states_equal_count_distinct(spark, keys):
+    wide = F.when(F.col("id") % 11 == 0, F.lit(None)).when(F.col("id") % 7 == 0, F.col("id") * 10 ** 12).when(
+        F.col("id") % 5 == 0, -F.col("id") % 400).otherwise(F.col("id") % 70_000)
+    d = spark.range(120_000).select((F.col("id") % 3).alias("a"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("b"), wide.alias("k"))
+    state = distinct_state(d, ["a", "b"], "k")
+    want = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("k").alias("distinct"))
+    assert rows(merged_distinct(state, keys, "distinct", "n")) == rows(want)
+
+
+def test_no_rows(spark):
+    state = distinct_state(spark.createDataFrame([], "a int, k long"), ["a"], "k")
+    assert rows(merged_distinct(state, [], "distinct", "n")) == [(0, 0)] and rows(merged_distinct(state, ["a"], "distinct")) == []
+
+
+def test_marts_agree_with_the_states(models):
+    state = models["agg_event_customers"]
+    by_type = merged_distinct(state, ["traffic_source", "event_type"], "unique_customers", "event_count")
+    assert rows(by_type.select("traffic_source", "event_type", "event_count", "unique_customers")) == rows(
+        models["fct_traffic_conversion"].select("traffic_source", "event_type", "event_count", "unique_customers"))
+    by_month = merged_distinct(state, ["traffic_source", "event_month", "event_type"], "unique_customers", "event_count")
+    assert rows(by_month) == rows(models["fct_traffic_monthly"].select(by_month.columns))
+    groups = merged_distinct(state.where("experiment_group IS NOT NULL"), ["experiment_group"], "total_customers")
+    assert rows(groups) == rows(models["fct_experiment_groups"].select("experiment_group", "total_customers"))
+    assert R.unique_customers(state).first()[0] == R.unique_event_customers(models["stg_events"]).first()[0]
+
+
+def test_reports_on_written_states_read_no_event(spark, models, tmp_path):
+    M.agg_event_customers(models["stg_events"]).write.parquet(str(tmp_path / "state"))
+    models["fct_traffic_conversion"].write.parquet(str(tmp_path / "conversion"))
+    state, conversion = spark.read.parquet(str(tmp_path / "state")), spark.read.parquet(str(tmp_path / "conversion"))
+    kpis = R.traffic_kpis(conversion, state)
+    files = {f.rsplit("/", 2)[-2] for f in [*R.unique_customers(state).inputFiles(), *kpis.inputFiles()]}
+    assert files <= {"state", "conversion"} and kpis.first().unique_customers == R.unique_event_customers(models["stg_events"]).first()[0]
