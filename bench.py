@@ -12,6 +12,7 @@ Timed steps, in order:
 * one entry per report / data test: executed over the written marts with the
   ``noop`` sink (the full result is computed, nothing is collected).
 
+* ``calibration:`` entries first: fixed work outside the total, to tell a slower host from a slower plan;
 * one entry per intermediate model, and ``query:`` entries for some registered
   queries run from the raw tables, planning included.
 
@@ -54,6 +55,10 @@ def main() -> None:
         timings[name] = round(time.perf_counter() - t, 3)
         return out
 
+    # The same work in every round, so that a slower host shows: interpreter speed, then one shuffle of generated rows.
+    timed("calibration:python", lambda: sum(i * i for i in range(5_000_000)))
+    timed("calibration:spark", lambda: spark.range(8_000_000).selectExpr("id % 1000003 AS k", "id * 7 AS v").groupBy("k").sum("v")
+          .write.format("noop").mode("overwrite").save())
     t_all = time.perf_counter()
     raw = raw_from_driver(spark, sf_dir)
     stg = staging_models(raw, {"transactions": TRANSACTION_TIE_BREAK})

@@ -198,10 +198,14 @@ def cohort_matrix(fct_cohort_retention: DataFrame) -> DataFrame:
     """
     cells = fct_cohort_retention.where(F.col("cohort_month").isNotNull() & F.col("months_since_signup").isNotNull()).groupBy(
         month_label("cohort_month").alias("cohort_month"), "months_since_signup").agg(F.sum(cents("total_revenue")).alias("__cents"))
-    offsets = cells.agg(F.sort_array(F.collect_set("months_since_signup"))).scalar()
-    grid = cells.select("cohort_month").distinct().withColumn("months_since_signup", F.explode(offsets))
-    return grid.join(cells, ["cohort_month", "months_since_signup"], "left").select(
-        "cohort_month", "months_since_signup", F.coalesce(money_from_cents("__cents"), F.lit(0.0)).alias("total_revenue"))
+    # One row holds the cells, at most calendar months squared, so that the facts are grouped once.
+    one = cells.agg(F.collect_set("cohort_month").alias("months"), F.collect_set("months_since_signup").alias("offsets"),
+                    F.map_from_entries(F.collect_list(F.struct(F.struct("cohort_month", "months_since_signup").alias("cell"), "__cents")))
+                    .alias("held"))
+    grid = one.select("offsets", "held", F.explode("months").alias("cohort_month")).select(
+        "held", "cohort_month", F.explode("offsets").alias("months_since_signup"))
+    return grid.select("cohort_month", "months_since_signup", F.coalesce(
+        money_from_cents(F.try_element_at("held", F.struct("cohort_month", "months_since_signup"))), F.lit(0.0)).alias("total_revenue"))
 
 
 def cohort_matrix_wide(fct_cohort_retention: DataFrame, months: Sequence[int] | None = None) -> DataFrame:

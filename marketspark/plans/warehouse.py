@@ -26,11 +26,13 @@ from marketspark.plans import marts as M
 from marketspark.plans import quality as Q
 from marketspark.plans import staging as S
 from marketspark.session import scratch_root
-from marketspark.sources.sinks import materialise, table_records
+from marketspark.sources.sinks import materialise, read_range, table_records
 
 STAGING = ("stg_customers", "stg_campaigns", "stg_products", "stg_events", "stg_transactions")
 INTERMEDIATE = ("int_funnel_steps", "int_cart_activity", "int_customer_cohorts", "int_customer_orders",
                 "int_product_funnel")
+#: Facts whose files are laid out by time, with the id to split a moment that many rows share (``facts_between``).
+RANGES = {"fct_transactions": ("transaction_timestamp", "transaction_id")}
 Builder = Callable[[Mapping[str, DataFrame]], DataFrame]
 
 MARTS = ("dim_customers", "dim_products", "dim_campaigns", "fct_transactions", "fct_customer_metrics",
@@ -158,7 +160,8 @@ def build_all(spark: SparkSession, raw: Mapping[str, DataFrame], root: str | Non
         root = scratch_root(spark, "warehouse")
 
     def write(layer: str, name: str, df: DataFrame) -> DataFrame:
-        return materialise(spark, df, os.path.join(root, layer), name, version=version, observe=observed_figures(name))
+        return materialise(spark, df, os.path.join(root, layer), name, version=version, observe=observed_figures(name),
+                           range_by=RANGES.get(name, ()))
 
     stg = staging_models(raw, tie_breaks)
     for name in shared_staging:
@@ -175,6 +178,12 @@ def written_figures(spark: SparkSession, root: str | None = None) -> dict[str, M
     return {n: r.figures for n, r in table_records(spark, list(folders.values())).items()}
 
 
+def facts_between(spark: SparkSession, low, high, root: str | None = None, name: str = "fct_transactions") -> DataFrame:
+    """Rows of a written fact table with ``low <= time < high``, from the files that hold such rows only."""
+    folder = _folders(scratch_root(spark, "warehouse") if root is None else root)[name]
+    return read_range(spark, folder, RANGES[name][0], low, high)
+
+
 def event_types(figures: Mapping[str, Mapping]) -> list[str]:
     """The event types of the written traffic mart, for ``reports.event_mix`` without a job of its own."""
     return sorted(figures["fct_traffic_conversion"]["values:event_type"])

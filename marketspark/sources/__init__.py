@@ -6,6 +6,7 @@ from marketspark.sources.schemas import RAW_COLUMNS, RAW_TABLES  # noqa: F401
 from marketspark.sources.sinks import (  # noqa: F401
     input_version,
     materialise,
+    read_range,
     read_table,
     register_views,
     run_sql,

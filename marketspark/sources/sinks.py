@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-POINTER, SLOTS = "pointer", ("data-a", "data-b")
+POINTER, SLOTS, RANGES = "pointer", ("data-a", "data-b"), "ranges"
 _RECORD = "seq long, table string, slot string, version string, figures string"
 
 
@@ -57,18 +57,31 @@ def table_record(spark: SparkSession, path: str) -> TableRecord:
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), version: str | None = None,
-                observe: Mapping[str, Column] | None = None) -> TableRecord:
-    """Replace the table at ``path`` by ``df``, which may read it; ``observe`` names aggregates to record on the way."""
+                observe: Mapping[str, Column] | None = None, range_by: Sequence[str] = (), files: int | None = None) -> TableRecord:
+    """Replace the table at ``path`` by ``df``, which may read it; ``observe`` names aggregates to record on the way.
+
+    With ``range_by`` each file holds a range of these columns, sorted, and the
+    least and greatest value of the first of them in each file are kept beside
+    the data, so that ``read_range`` opens the files it needs only.  Further
+    columns split a value of the first that very many rows share.
+    """
     spark, name = df.sparkSession, os.path.basename(path.rstrip("/"))
     before = table_record(spark, path)
     slot = SLOTS[1] if before.slot == SLOTS[0] else SLOTS[0]
     seen = Observation()
     if observe:
         df = df.observe(seen, *[c.alias(k) for k, c in observe.items()])
+    if range_by:
+        df = (df.repartitionByRange(files, *range_by) if files else df.repartitionByRange(*range_by)).sortWithinPartitions(*range_by)
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(os.path.join(path, slot))
+    if range_by:
+        by = F.col(range_by[0])
+        spark.read.schema(df.schema).parquet(os.path.join(path, slot)).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.min(by).alias("low"), F.max(by).alias("high"), F.count_if(by.isNull()).alias("nulls")) \
+            .coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"{RANGES}-{slot}"))
     figures = seen.get if observe else {}
     after = TableRecord(before.seq + 1, slot, version, figures)
     spark.createDataFrame([(after.seq, name, slot, version, json.dumps(figures, default=str))], _RECORD) \
@@ -86,8 +99,22 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(current_path(spark, path))
 
 
+def read_range(spark: SparkSession, path: str, column: str, low, high) -> DataFrame:
+    """Rows with ``low <= column < high`` of a table written with ``range_by=(column, ...)``; opens the files of that range only."""
+    slot = table_record(spark, path).slot
+    if slot is None:
+        raise ValueError(f"no table at {path}")
+    ranges = spark.read.parquet(os.path.join(path, f"{RANGES}-{slot}"))
+    hit = [r.file for r in ranges.where((F.col("high") >= F.lit(low)) & (F.col("low") < F.lit(high))).select("file").collect()]
+    whole = spark.read.parquet(os.path.join(path, slot))
+    if not hit:
+        return whole.limit(0)
+    return spark.read.schema(whole.schema).parquet(*hit).where((F.col(column) >= F.lit(low)) & (F.col(column) < F.lit(high)))
+
+
 def materialise(spark: SparkSession, df: DataFrame, root: str, name: str, partition_by: tuple[str, ...] = (),
-                version: str | None = None, observe: Mapping[str, Column] | None = None) -> DataFrame:
+                version: str | None = None, observe: Mapping[str, Column] | None = None,
+                range_by: Sequence[str] = (), files: int | None = None) -> DataFrame:
     """Write ``df`` under ``root/name`` and return a scan of the written table.
 
     Downstream models then start from files in the shared folder instead of
@@ -98,7 +125,7 @@ def materialise(spark: SparkSession, df: DataFrame, root: str, name: str, partit
     path = os.path.join(root, name)
     record = table_record(spark, path) if version is not None else TableRecord()
     if record.slot is None or record.version != version:
-        record = write_table(df, path, partition_by, version, observe)
+        record = write_table(df, path, partition_by, version, observe, range_by, files)
     data = os.path.join(path, record.slot)
     if partition_by:
         return spark.read.parquet(data)

@@ -217,11 +217,13 @@ def test_build_all_needs_a_shared_folder(models, monkeypatch):
         build_all(Bare, {})
 
 
-def test_report_needs_one_pass_per_model(models):
-    plan = Q.dq_report(models)._jdf.queryExecution().executedPlan().toString()
-    single = Q.dq_not_null(models).unionByName(Q.dq_unique(models))._jdf.queryExecution().executedPlan().toString()
-    exchanges = lambda p: len(re.findall(r"Exchange (?:hash|Single|range)", p))
-    assert exchanges(plan) <= exchanges(single)
+def test_exchange_counts_of_whole_plans(models):
+    """Planned from the raw tables, before AQE; a higher count is a regression."""
+    exchanges = lambda df: len(re.findall(r"Exchange (?:hash|Single|range)", df._jdf.queryExecution().executedPlan().toString()))
+    assert exchanges(Q.dq_report(models)) <= 42
+    figures = {m: {f"nulls:{c}": 0 for c in cols} for m, cols in Q.NOT_NULL.items()}
+    assert exchanges(Q.dq_report(models, figures)) < exchanges(Q.dq_report(models)) and exchanges(Q.dq_not_null(models, figures)) == 0
+    assert exchanges(R.cohort_matrix(models["fct_cohort_retention"])) <= 6
 
 
 def test_failing_rows(spark, models):

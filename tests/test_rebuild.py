@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import tempfile
 
@@ -11,7 +12,16 @@ from pyspark.sql import functions as F
 from marketspark.plans import quality as Q
 from marketspark.plans import reports as R
 from marketspark.plans import warehouse as W
-from marketspark.sources import input_version, materialise, raw_from_driver, read_table, save_as_table, table_record, write_table
+from marketspark.sources import (
+    input_version,
+    materialise,
+    raw_from_driver,
+    read_range,
+    read_table,
+    save_as_table,
+    table_record,
+    write_table,
+)
 from marketspark.sources.fixtures import TRANSACTION_TIE_BREAK
 
 SF = "/root/testdata/sf0.001"
@@ -134,3 +144,31 @@ def test_nulls_are_observed(spark, root):
     materialise(spark, df, root, "stg_customers", observe=W.observed_figures("stg_customers"))
     seen = table_record(spark, os.path.join(root, "stg_customers")).figures
     assert seen == {"nulls:customer_id": 1, "nulls:loyalty_tier": 2, "nulls:acquisition_channel": 0}
+
+
+def test_a_month_is_read_from_its_files_only(spark, root):
+    """Files hold ranges of time: a month of five years opens under a tenth of them, also where one moment is very frequent."""
+    day = F.date_add(F.lit(dt.date(2018, 1, 1)), (F.col("id") * 7919 % 1826).cast("int")).cast("timestamp_ntz")
+    t = F.when(F.col("id") % 3 == 0, F.lit(dt.datetime(2019, 6, 1)).cast("timestamp_ntz")).otherwise(day)
+    facts = spark.range(30_000).select("id", F.when(F.col("id") % 500 != 0, t).alias("at"), (F.col("id") % 90).cast("double").alias("x"))
+    path = os.path.join(root, "facts")
+    write_table(facts.repartition(16), path, range_by=("at", "id"), files=60)
+    files = lambda df: len(df.inputFiles())
+    whole = read_table(spark, path)
+    assert whole.count() == 30_000 and files(whole) >= 55
+    hot = facts.where("at = timestamp_ntz'2019-06-01 00:00:00'").count()
+    assert whole.where("at = timestamp_ntz'2019-06-01 00:00:00'").groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < hot / 8
+    for low, high in ((dt.datetime(2021, 3, 1), dt.datetime(2021, 4, 1)), (dt.datetime(2018, 1, 1), dt.datetime(2018, 2, 1))):
+        month = read_range(spark, path, "at", low, high)
+        want = facts.where((F.col("at") >= F.lit(low)) & (F.col("at") < F.lit(high)))
+        assert files(month) < files(whole) / 10
+        assert month.exceptAll(want).count() == 0 == want.exceptAll(month).count() and month.count() > 100
+    assert read_range(spark, path, "at", dt.datetime(1999, 1, 1), dt.datetime(1999, 2, 1)).count() == 0
+
+
+def test_facts_of_a_rebuild_are_read_by_time(spark, root):
+    models = W.build_all(spark, raw_from_driver(spark, SF), root, TIE)
+    facts, low, high = models["fct_transactions"], dt.datetime(1995, 1, 1), dt.datetime(1995, 3, 1)
+    found = W.facts_between(spark, low, high, root)
+    want = facts.where((F.col("transaction_timestamp") >= F.lit(low)) & (F.col("transaction_timestamp") < F.lit(high)))
+    assert found.exceptAll(want).count() == 0 == want.exceptAll(found).count()
