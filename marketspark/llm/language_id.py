@@ -17,7 +17,8 @@ The training sample is bounded: per language at most ``TRAIN_DOCS`` documents
 (those of smallest hash; documents over ``TRAIN_CHARS`` characters only after all
 others, and of them the first ``TRAIN_CHARS``) and together at most ``TRAIN_SYMBOLS`` symbols, or an
 equal part of ``TOTAL_SYMBOLS`` where many languages are labelled.  Automata
-have at most two states per symbol, which bounds the table sent to the tasks.
+have at most two states and three edges per symbol, and the table sent to the
+tasks is of edges where one of states x symbols would be large.
 
 Defined cases: NULL text or text without a letter gives ``und`` with score 0,
 as does a training set without any labelled letter; a NULL doc_id counts as
@@ -39,6 +40,8 @@ from marketspark.llm.common import blocks
 UNDETERMINED = "und"
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_SYMBOLS, TOTAL_SYMBOLS = 48, 16_384, 40_000, 400_000
 LANE = 256
+#: States x symbols up to which a table has an entry for each (128 MB); places tried for a state's edges beyond that.
+DENSE_ENTRIES, TRIES = 1 << 25, 64
 RESULT = "lang_pred string, score double"
 
 
@@ -97,7 +100,8 @@ class CrossParser:
 
     Symbols: 0 pads a lane (every state keeps itself), 1 separates, 2 is a
     letter that no labelled text has, further ones are letters.  State 0 means
-    that no phrase is under way (or none can go on); entries are premultiplied by the alphabet size.
+    that no phrase is under way (or none can go on).  Up to ``DENSE_ENTRIES`` states x symbols there is an entry
+    for each, premultiplied by the alphabet size; beyond that, as with thousands of letters, edges only are held.
     """
 
     def __init__(self, texts: dict[str, list[str]], symbols: int = TRAIN_SYMBOLS, total: int = TOTAL_SYMBOLS):
@@ -118,12 +122,56 @@ class CrossParser:
             roots.append(base)
             own = suffix_automaton([code[int(c)] for c in cleaned[lang]])
             edges.extend({c: t + base for c, t in e.items()} for e in own)
-        table = np.zeros((len(edges), self.size), dtype=np.int32)
+        if len(edges) * self.size <= DENSE_ENTRIES:
+            table = np.zeros((len(edges), self.size), dtype=np.int32)
+            for state, e in enumerate(edges):
+                for c, t in e.items():
+                    table[state, c] = t * self.size
+            table[:, 0] = np.arange(len(edges)) * self.size
+            self.table, self.roots = table.ravel(), np.array(roots, dtype=np.int32) * self.size
+        else:
+            self.table, self.roots = None, np.array(roots, dtype=np.int32)
+            self._displace(edges)
+
+    def _displace(self, edges: list[dict[int, int]]) -> None:
+        """Edges of all states in one list: that of (state, symbol) is at ``base[state] + symbol`` if ``owner`` says so.
+
+        States are laid over each other where their edges leave room, so the list
+        is about as long as there are edges, at most three times the symbols.
+        """
+        slots = sum(len(e) for e in edges)
+        used = bytearray(b"\1" * self.size + b"\0" * (slots + 2 * self.size))
+        base = np.zeros(len(edges), dtype=np.int64)
+        free = self.size
+        for state in sorted(range(len(edges)), key=lambda s: -len(edges[s])):
+            symbols = sorted(edges[state])
+            if not symbols:
+                continue
+            at = free = used.find(0, free)
+            for _ in range(TRIES):
+                if not any(used[at - symbols[0] + c] for c in symbols):
+                    break
+                at = used.find(0, at + 1)
+            else:
+                at = max(used.rfind(1) + 1, self.size)  # behind all others
+            base[state] = at - symbols[0]
+            if (need := at + 3 * self.size) > len(used):
+                used.extend(bytes(need + len(used) // 8 - len(used)))
+            for c in symbols:
+                used[base[state] + c] = 1
+        size = used.rfind(1) + 1 + self.size
+        self.base = base.astype(np.int32)
+        self.owner, self.target = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
         for state, e in enumerate(edges):
             for c, t in e.items():
-                table[state, c] = t * self.size
-        table[:, 0] = np.arange(len(edges)) * self.size
-        self.table, self.roots = table.ravel(), np.array(roots, dtype=np.int32) * self.size
+                self.owner[base[state] + c], self.target[base[state] + c] = state, t
+
+    def _follow(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The state behind a symbol, 0 where there is none; a padding symbol keeps the state."""
+        if self.table is not None:
+            return self.table.take(state + symbols)
+        at = self.base.take(state) + symbols
+        return np.where(symbols == 0, state, np.where(self.owner.take(at) == state, self.target.take(at), 0))
 
     @staticmethod
     def _squeeze(points: np.ndarray) -> np.ndarray:
@@ -137,7 +185,7 @@ class CrossParser:
 
     def ready(self) -> CrossParser:
         """Lookup of each code point's symbol (made in the task, not sent)."""
-        self.symbol_of = np.where(is_letter(), 2, 1).astype(np.uint16)
+        self.symbol_of = np.where(is_letter(), 2, 1).astype(np.uint16 if self.size <= 1 << 16 else np.uint32)
         self.symbol_of[self.letters] = np.arange(3, self.size)
         return self
 
@@ -155,7 +203,7 @@ class CrossParser:
             keep[1:] |= s[:-1] != 1
             s = s[keep]
             n = -(-len(s) // LANE)
-            padded = np.zeros(n * LANE, dtype=np.uint16)
+            padded = np.zeros(n * LANE, dtype=self.symbol_of.dtype)
             padded[:len(s)] = s
             lanes.append(padded.reshape(n, LANE))
             owner.append(np.full(n, i))
@@ -168,11 +216,11 @@ class CrossParser:
         state = np.zeros((len(self.languages), width), dtype=np.int32)  # no phrase under way
         cut = np.zeros(state.shape, dtype=np.int32)
         for symbols in steps:
-            follow = self.table.take(state + symbols)
+            follow = self._follow(state, symbols)
             dead = (follow == 0) & (symbols > 0)
             cut += dead
             # A new phrase starts with this symbol; one that no labelled text has is a phrase of its own (state 0).
-            np.copyto(follow, self.table.take(self.roots[:, None] + symbols), where=dead)
+            np.copyto(follow, self._follow(self.roots[:, None], symbols), where=dead)
             state = follow
         for k in range(len(self.languages)):
             counts[:, k] = np.bincount(owner, weights=cut[k], minlength=len(texts))
@@ -206,7 +254,7 @@ def train(docs: DataFrame, label_col: str = "lang") -> CrossParser:
     if None in ids:
         pick = pick | F.col("doc_id").isNull()
     bounded = d.where(pick).withColumn("text", F.substring("text", 1, TRAIN_CHARS))
-    for r in sorted(bounded.distinct().limit(2 * TRAIN_DOCS * max(1, len(texts))).collect(),
+    for r in sorted(bounded.distinct().orderBy("label", "doc_id", "text").limit(2 * TRAIN_DOCS * max(1, len(texts))).collect(),
                     key=lambda r: (r["label"], r["doc_id"] is not None, r["doc_id"] or 0, r["text"])):
         texts[r["label"]].append(r["text"])
     return CrossParser(texts)
