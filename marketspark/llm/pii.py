@@ -5,7 +5,9 @@ that no rule has.  The model reads character classes: a forward and a backward
 LSTM (gates clipped-linear, cell output softsign, so a step is plain
 arithmetic) score five labels per character, and a CRF's transition scores
 choose the label sequence.  It is trained here, in numpy, by the CRF's
-likelihood on windows around labelled spans of a bounded sample.
+likelihood on windows around labelled spans of a bounded sample: those of the
+fixed rules, and the same in written forms that the rules miss (spaces or other
+signs between the parts, dots written out, numbers without a plus).
 
 A text is cut into windows of ``WINDOW`` characters that overlap by
 ``OVERLAP``.  Each is decoded by itself; each position takes its label from the
@@ -103,6 +105,45 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+# ------------------------------------------------------- forms that the rules miss
+
+_DOTS = [" . ", ". ", "[.]", "(.)", " dot ", "(dot)", "[dot]"]
+_DOT = re.compile(r"\s*(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\bdot\b|\.)\s*")
+
+
+def disguise(kind: str, s: str, r: np.random.RandomState) -> str:
+    """A written form of a span that keeps its meaning and that no base rule has."""
+    pick = lambda options: options[r.randint(len(options))]
+    if kind == "email":
+        local, domain = s.rsplit("@", 1)
+        head, last = domain.rsplit(".", 1)
+        at, dot = (pick(["@", " @ ", "@ "]), pick(_DOTS)) if r.randint(3) else (pick([" @ ", " @"]), ".")
+        return f"{local}{at}{head}{dot}{last}"
+    if kind == "ip":
+        return pick([" . ", "[.]", "(.)", ". ", " dot "]).join(s.split("."))
+    digits = _digits(s)
+    if kind == "card":
+        return pick([".", "/", "  ", " - ", " / "]).join(digits[i:i + 4] for i in range(0, len(digits), 4))
+    cut = 2 + r.randint(3)
+    rest = pick([" ", "-", ".", "/"]).join(digits[i:i + 3] for i in range(cut, len(digits), 3))
+    return pick([f"({digits[:cut]}) {rest}", f"00{digits[:cut]} {rest}", f"+ {digits[:cut]} {rest}", f"{digits[:cut]}-{rest}"])
+
+
+def disguised(text: str, r: np.random.RandomState) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its base spans in other written forms, and where these stand."""
+    out, spans, done = [], [], 0
+    size = 0
+    for kind, a, b in sorted(base_spans(text), key=lambda x: x[1:]):
+        if a < done:
+            continue
+        form = disguise(kind, text[a:b], r)
+        out += [text[done:a], form]
+        size += a - done
+        spans.append((kind, size, size + len(form)))
+        size, done = size + len(form), b
+    return "".join([*out, text[done:]]), spans
+
+
 _CLASS: list[np.ndarray] = []
 
 
@@ -260,11 +301,16 @@ class Tagger:
         return {"in" + d: g_in, "rec" + d: g_rec, "out" + d: g_out}
 
     def fit(self, texts: list[str]) -> Tagger:
-        """Adam on windows around the base spans of labelled texts and on plain windows."""
+        """Adam on windows around labelled spans and on plain windows.
+
+        Each text is taken as it is, labelled by its base spans, and with these
+        in written forms that the rules miss.
+        """
         r = np.random.RandomState(11)
         xs, ys = [], []
-        for text in texts:
-            c, spans = classes(text), base_spans(text)
+        labelled = [x for t in texts for x in ((t, base_spans(t)), *([disguised(t, r)] * bool(t)), *([disguised(t, r)] * bool(t)))]
+        for text, spans in labelled:
+            c = classes(text)
             y = np.zeros(len(c), dtype=np.uint8)
             for kind, a, b in spans:
                 y[a:b] = 1 + KINDS.index(kind)
@@ -364,15 +410,17 @@ class Tagger:
 
 
 def passes(kind: str, s: str) -> bool:
-    """The exact test of an added span."""
-    n = len(_digits(s))
+    """The exact test of an added span: read without spaces and other signs between its parts, it is of its kind."""
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@]+@[^\s@]+\.[^\s@]+", s))
+        plain = _DOT.sub(".", re.sub(r"\s*@\s*", "@", s))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", plain))
     if kind == "ip":
-        return bool(re.fullmatch(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", s)) and all(int(p) <= 255 for p in s.split("."))
+        plain = _DOT.sub(".", s)
+        return bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", plain)) and _octets(plain)
+    n = len(_digits(s))
     if kind == "card":
-        return 13 <= n <= 19 and luhn(_digits(s)) and bool(re.fullmatch(r"[0-9][0-9 .-]*[0-9]", s))
-    return 9 <= n <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*[0-9]", s)) and bool(re.search(r"[ ().-]", s))
+        return 13 <= n <= 19 and luhn(_digits(s)) and bool(re.fullmatch(r"[0-9](?:[ ./-]{0,3}[0-9])+", s))
+    return 9 <= n <= 15 and bool(re.fullmatch(r"(?:\+ ?|\()?[0-9](?:[ ()./-]{0,3}[0-9])+", s)) and bool(re.search(r"[ ()./-]", s))
 
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list, list]]:
