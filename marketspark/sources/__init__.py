@@ -2,6 +2,7 @@
 
 from marketspark.sources.fixtures import raw_from_driver  # noqa: F401
 from marketspark.sources.raw import conform_raw, read_broken, read_raw, read_rejected, rejected_values  # noqa: F401
+from marketspark.sources.result_cache import ResultCache  # noqa: F401
 from marketspark.sources.schemas import RAW_COLUMNS, RAW_TABLES  # noqa: F401
 from marketspark.sources.sinks import (  # noqa: F401
     input_version,
