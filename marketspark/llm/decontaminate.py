@@ -14,9 +14,11 @@ that reach the bound are retained.  Verification: banded alignment of the whole
 the retained band's text, free at the text's ends, gives the least number of
 edits and the region.
 
-The benchmark is a stated query set: it is read in blocks of at most
-``BLOCK_CHARS`` characters, each sent to the tasks once, and every block is held
-against all documents.  Documents are not shuffled.
+The benchmark is a stated query set: it is written once as a table with numbered
+rows, dealt by row number into blocks of about ``BLOCK_CHARS`` characters, and
+every block is held against all documents, one after the other: the driver and
+the tasks hold one block at a time, and what a block finds is written before the
+next is read.  Documents are not shuffled.
 
 Defined cases: NULL and empty texts contain nothing; NULL and empty items match
 nothing; items shorter than ``Q`` characters have no q-gram and match a text
@@ -35,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketspark.llm.common import blocks, id_and_text
+from marketspark.llm.common import blocks, id_and_text, written
 
 Q, BUDGET = 10, 0.08
 BLOCK_CHARS = 2 << 20
@@ -265,26 +267,18 @@ def align(item: np.ndarray, text: np.ndarray, k: int, first: int) -> tuple[int,
     return end - back, end, edits
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Block]:
-    """The benchmark in blocks of at most BLOCK_CHARS characters (a longer item is a block of its own)."""
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[Block, bool]]:
+    """The benchmark in blocks of about BLOCK_CHARS characters (and an item), each with whether it is the last.
+
+    Rows are dealt by a hash of their number in the written table, so rows that repeat are spread as well.
+    """
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")) \
         .where("text IS NOT NULL AND item_id IS NOT NULL AND text != ''")
-    held: list[tuple[int, str]] = []
-    size = 0
-    for r in rows.toLocalIterator():
-        if held and size + len(r["text"]) > BLOCK_CHARS:
-            yield Block(held)
-            held, size = [], 0
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if held:
-        yield Block(held)
-
-
-def matches(text: Column, benchmark: DataFrame) -> Column:
-    """Array of (item_id, start, end, edits) found in each text."""
-    columns = [_block_matches(text, b) for b in item_blocks(benchmark)]
-    return F.concat(*columns) if columns else F.array().cast(MATCHES)
+    items = written(rows.withColumn("row", F.monotonically_increasing_id()), "benchmark-items")
+    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS)
+    for i in range(n):
+        held = items.where(F.pmod(F.xxhash64("row"), F.lit(n)) == i).orderBy("row").collect()
+        yield Block([(r["item_id"], r["text"]) for r in held]), i == n - 1
 
 
 def _block_matches(text: Column, block: Block) -> Column:
@@ -326,13 +320,23 @@ def _suspects(block: Block, points: list[np.ndarray]) -> np.ndarray:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, edits of every contaminated region."""
-    found = id_and_text(docs).select("doc_id", F.explode(matches(F.col("text"), benchmark)).alias("m"))
-    return found.select("doc_id", "m.item_id", F.col("m.start").cast("long").alias("start"),
-                        F.col("m.end").cast("long").alias("end"), F.col("m.edits").cast("long").alias("edits"))
+    d = id_and_text(docs)
+    found = d.select("doc_id", F.array().cast(MATCHES).alias("found")).where(F.lit(False))
+    for block, last in item_blocks(benchmark):
+        hits = d.select("doc_id", _block_matches(F.col("text"), block).alias("found"))
+        found = found.unionByName(hits if last else written(hits.where("size(found) > 0"), "leaks"))
+    return found.select("doc_id", F.explode("found").alias("m")).select(
+        "doc_id", "m.item_id", F.col("m.start").cast("long").alias("start"),
+        F.col("m.end").cast("long").alias("end"), F.col("m.edits").cast("long").alias("edits"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item, with all columns."""
     names = docs.columns
-    whole = docs.select(F.struct(*names).alias("doc"), F.col("text").cast("string").alias("text"))
-    return whole.withColumn("found", matches(F.col("text"), benchmark)).where("size(found) = 0").select("doc.*").select(*names)
+    for block, last in item_blocks(benchmark):
+        whole = docs.select(F.struct(*names).alias("doc"), F.col("text").cast("string").alias("text"))
+        docs = whole.withColumn("found", _block_matches(F.col("text"), block)).where("size(found) = 0") \
+            .select("doc.*").select(*names)
+        if not last:
+            docs = written(docs, "clean")
+    return docs

@@ -390,6 +390,26 @@ def test_decontamination_finds_edited_items_only(spark):
     assert decontaminate.contaminated(d.limit(0), bench).count() == 0
 
 
+def test_benchmark_in_many_blocks_finds_the_same(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijkl") for _ in range(r.randint(2, 8)))
+    items = [" ".join(word() for _ in range(r.randint(3, 30))) for _ in range(24)]
+    bench = spark.createDataFrame([*enumerate(items), (3, items[3]), (70, items[5]), (71, "x y"), (None, items[2]), (72, None)],
+                                  "item_id long, text string")
+    table = [f"{word()} {items[i]} {word()} {items[j]}" for i, j in zip(range(0, 24, 2), range(23, 0, -3))]
+    d = spark.createDataFrame(rows(*table, "x y", "nothing of it", None, ""), SCHEMA).withColumn("item_id", F.lit("clash"))
+    whole = sorted(tuple(x) for x in decontaminate.contaminated(d, bench).collect())
+    left = sorted(tuple(map(str, x)) for x in decontaminate.drop_contaminated(d, bench).collect())
+    want = {(doc, i) for doc, t in enumerate(table) for i, item in [*enumerate(items), (70, items[5])] if item in t}
+    assert want <= {x[:2] for x in whole} and len(left) == 3
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", sum(map(len, items)) // 4)
+    held = list(decontaminate.item_blocks(bench))
+    assert len(held) > 3 and [last for _, last in held] == [False] * (len(held) - 1) + [True]
+    assert sum(len(b.ids) + len(b.short) for b, _ in held) == len(items) + 3
+    assert sorted(tuple(x) for x in decontaminate.contaminated(d, bench).collect()) == whole
+    assert sorted(tuple(map(str, x)) for x in decontaminate.drop_contaminated(d, bench).collect()) == left
+
+
 def test_alignment_against_full_table():
     def full(item, text):
         row = [0] * (len(text) + 1)
