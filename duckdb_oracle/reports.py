@@ -142,6 +142,15 @@ CROSS JOIN (SELECT DISTINCT months_since_signup FROM cohort_cells) m
 LEFT JOIN cohort_cells r ON r.cohort_month = c.cohort_month AND r.months_since_signup = m.months_since_signup
 GROUP BY c.cohort_month, m.months_since_signup
 """)
+report("cohort_matrix_wide", f"""
+SELECT * FROM (PIVOT (
+ SELECT c.cohort_month, 'M' || m.months_since_signup AS label,
+  (SELECT {money_total('r.total_revenue')} FROM cohort_cells r
+   WHERE r.cohort_month = c.cohort_month AND r.months_since_signup = m.months_since_signup) AS revenue
+ FROM (SELECT DISTINCT cohort_month FROM cohort_cells) c
+ CROSS JOIN (SELECT DISTINCT months_since_signup FROM cohort_cells) m
+) ON label USING first(revenue) GROUP BY cohort_month)
+""")
 
 # ---------------------------------------------------------- traffic & conversion
 

@@ -66,6 +66,7 @@ REPORTS: dict[str, Callable[[Models], DataFrame]] = {
     "acquisition_mix": lambda m: R.acquisition_mix(_customers(m)),
     "revenue_by_acquisition": lambda m: R.revenue_by_acquisition(_customers(m)),
     "cohort_matrix": lambda m: R.cohort_matrix(m["fct_cohort_retention"]),
+    "cohort_matrix_wide": lambda m: R.cohort_matrix_wide(m["fct_cohort_retention"]),
     "traffic_filtered": lambda m: R.traffic_filtered(m["fct_traffic_conversion"], **TRAFFIC_SELECTION),
     "traffic_monthly_filtered": lambda m: R.traffic_filtered(m["fct_traffic_monthly"], **TRAFFIC_SELECTION),
     "traffic_kpis": lambda m: R.traffic_kpis(m["fct_traffic_conversion"], m["agg_event_customers"]),
