@@ -321,13 +321,11 @@ def _suspects(block: Block, points: list[np.ndarray]) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, start, end, edits of every contaminated region."""
     d = id_and_text(docs)
-    found = d.select("doc_id", F.array().cast(MATCHES).alias("found")).where(F.lit(False))
+    found = d.where(F.lit(False)).select("doc_id", F.explode(F.array().cast(MATCHES)).alias("m")).select("doc_id", "m.*")
     for block, last in item_blocks(benchmark):
-        hits = d.select("doc_id", _block_matches(F.col("text"), block).alias("found"))
-        found = found.unionByName(hits if last else written(hits.where("size(found) > 0"), "leaks"))
-    return found.select("doc_id", F.explode("found").alias("m")).select(
-        "doc_id", "m.item_id", F.col("m.start").cast("long").alias("start"),
-        F.col("m.end").cast("long").alias("end"), F.col("m.edits").cast("long").alias("edits"))
+        hits = d.select("doc_id", F.explode(_block_matches(F.col("text"), block)).alias("m")).select("doc_id", "m.*")
+        found = found.unionByName(hits if last else written(hits, "leaks"))
+    return found.select("doc_id", "item_id", *[F.col(c).cast("long").alias(c) for c in ("start", "end", "edits")])
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
