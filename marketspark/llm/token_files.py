@@ -17,9 +17,12 @@ position of a document in the whole id stream is (ids of earlier parts) + (ids
 of earlier blocks of its part) + (ids before it in its block).  Only the number
 of ids per part crosses between tasks.
 
-Texts are split where no token of the vocabulary can span (spaces and line
-feeds; in Latin-1 text also behind a letter that no letter follows), and each
-distinct piece is encoded by the library once per worker (bounded memory).
+Texts are split where no token of the vocabulary can span: at white space, and
+behind a letter before another Latin-1 (beside wider characters: ASCII)
+character that is no letter.  The pieces of about a million characters together
+are cut by NumPy and made distinct by Arrow; each distinct piece is looked up in
+a bounded memory of the worker, which the library fills, words of letters many
+at a time.
 
 Defined cases: NULL text counts as empty; an empty document holds the end id
 only; a NULL doc_id sorts first; rows that repeat a doc_id are all kept,
@@ -30,15 +33,15 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -56,17 +59,58 @@ BLOCK_BYTES = 1 << 20
 #: Characters of a text that take part in the range bounds.
 RANGE_CHARS = 64
 
-_SPLIT = re.compile("[ \n]+")
-#: Of lower-cased Latin-1 text: letters, or other characters with the letters behind them.  No token of the vocabulary's
-#: splitting rule goes from a letter on to another character.
-_LATIN_PIECE = re.compile("[a-zµß-öø-ÿªº]+|[^ \na-zµß-öø-ÿªº]+[a-zµß-öø-ÿªº]*")
+#: Words of letters that the library encodes as one text.
+JOINED_WORDS = 128
+
+_SPACE, _LETTER, _OTHER, _JOINED = range(4)
+
+
+def _kinds(letters: str, rest: int, beyond: int) -> bytes:
+    """Kind of each byte: white space, letter, cut off from a letter before it, or joined to what is before it."""
+    kinds = bytearray([rest] * 128 + [beyond] * 128)
+    for kind, some in ((_SPACE, " \t\n\v\f\r"), (_LETTER, letters)):
+        for c in some:
+            kinds[ord(c)] = kind
+    return bytes(kinds)
+
+
+_LATIN_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha())
+#: No token of the vocabulary's splitting rule goes from a letter on to another character.  Beside wider characters
+#: (marks that join a letter) only ASCII is cut; texts with special tokens only at white space.
+_LATIN = _kinds(_LATIN_LETTERS, _OTHER, _OTHER)
+_WIDE = _kinds(_LATIN_LETTERS[:52], _OTHER, _JOINED)
+_MARKED = _kinds("", _JOINED, _JOINED)
+#: Latin-1 letters in lower case.
+_LOWER = bytes(map(ord, "".join(map(chr, range(256))).lower()))
 _INDEX = "array<struct<doc_id: long, offset: long, length: long, n_tokens: long>>"
 BLOCK_SCHEMA = ("part int, block int, first_doc long, last_doc long, n_docs long, n_tokens long, "
                 f"part_start long, width int, dict_hash string, frames binary, index {_INDEX}")
 
 
+def folded(text: str) -> tuple[bytes, str, bytes]:
+    """The text's bytes, in lower case where that changes no ids, their encoding, and the kinds to cut them by."""
+    if "<|" in text:  # special tokens are found before letters are folded
+        return text.encode("utf-8"), "utf-8", _MARKED
+    try:
+        return text.encode("latin-1").translate(_LOWER), "latin-1", _LATIN
+    except UnicodeEncodeError:
+        return text.encode("utf-8"), "utf-8", _WIDE
+
+
+def cut(data: bytes, kinds: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Where each piece starts, and the pieces, which the library encodes independently of each other."""
+    kind = np.frombuffer(b" ".translate(kinds) + data.translate(kinds) + b" ".translate(kinds), np.uint8)
+    before, kind, after = kind[:-2], kind[1:-1], kind[2:]
+    inside = kind != _SPACE
+    starts = np.flatnonzero(inside & ((before == _SPACE) | ((before == _LETTER) & (kind == _OTHER))))
+    ends = np.flatnonzero(inside & ((after == _SPACE) | ((kind == _LETTER) & (after == _OTHER)))) + 1
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    pieces = np.frombuffer(data, np.uint8)[inside]
+    return starts, pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(pieces)])
+
+
 class WordEncoder:
-    """Whole-text ids through the tokenizers library, one call per distinct piece."""
+    """Whole-text ids through the tokenizers library, one look-up per distinct piece."""
 
     def __init__(self, vocabulary: bytes, max_pieces: int = 600_000, max_piece_chars: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,41 +122,69 @@ class WordEncoder:
         self.memory: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.max_pieces, self.max_piece_chars = max_pieces, max_piece_chars
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """Parts of a text that the library encodes independently of each other."""
-        if "<|" not in text:  # special tokens are found before letters are folded
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
-            else:
-                return _LATIN_PIECE.findall(text.lower())
-        return _SPLIT.split(text)
+        known = self.library.get_vocab()
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        #: By id: the token ends a word.
+        self.ends_word = np.zeros(max(known.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends_word[[i for token, i in known.items() if token.endswith(suffix)]] = True
+
+    def encode(self, fresh: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each piece with its ids from the library, in any order."""
+        words, single = [p for p in fresh if p.isalpha()], [p for p in fresh if not p.isalpha()]
+        for i in range(0, len(words), JOINED_WORDS):
+            some = words[i:i + JOINED_WORDS]
+            ids = _little_endian(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
+            ends = (4 * np.flatnonzero(self.ends_word[np.frombuffer(ids, "<u4")]) + 4).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                yield from zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
+            else:  # to the library, a piece is not one word
+                single += some
+        for i in range(0, len(single), JOINED_WORDS):
+            some = single[i:i + JOINED_WORDS]
+            for p, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                yield p, _little_endian(e.ids)
+
+    def look_up(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of these distinct pieces; new ones are learnt."""
+        if len(self.memory) > self.max_pieces:
+            self.older, self.memory = self.memory, {}
+        found = list(map(self.memory.get, pieces))
+        new = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+        if not new:
+            return found
+        learnt = {p: self.older[p] for p in new if p in self.older}
+        learnt.update(self.encode([p for p in new if p not in learnt]))
+        self.memory.update([(p, ids) for p, ids in learnt.items() if len(p) <= self.max_piece_chars])
+        return [learnt[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+
+    def _of_kind(self, texts: list[bytes], encoding: str, kinds: bytes) -> Iterator[bytes]:
+        starts, pieces = cut(b" ".join(texts), kinds)
+        distinct = pieces.dictionary_encode()
+        known = self.look_up([p.decode(encoding) for p in distinct.dictionary.to_pylist()])
+        ids = pa.array(known, pa.large_binary()).take(distinct.indices)
+        # Where each text's ids end: behind those of the pieces that start before the next text.
+        after = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+        ends = np.concatenate([[0], np.cumsum(pc.binary_length(ids).to_numpy())]).astype(np.int64)[after].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        for a, b in zip([0, *ends], ends, strict=False):
+            yield data[a:b].tobytes()
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each whole text as little-endian 32-bit integers.
 
-        New pieces are learnt for about a million characters at a time.
+        Pieces are cut and looked up for about a million characters at a time.
         """
         for a, b in blocks(texts):
-            cut = [self.pieces(t) for t in texts[a:b]]
-            if len(self.memory) > self.max_pieces:
-                self.older, self.memory = self.memory, {}
-            memory, older = self.memory, self.older
-            unknown = set(filterfalse(memory.__contains__, chain.from_iterable(cut)))
-            kept = unknown & older.keys()
-            memory.update(zip(kept, map(older.__getitem__, kept), strict=True))
-            fresh = list(unknown - kept)
-            encoded = self.library.encode_batch_fast(fresh, add_special_tokens=False)
-            for p, e in zip(fresh, encoded, strict=True):
-                memory[p] = _little_endian(e.ids)
-            for pieces in cut:
-                yield b"".join(map(memory.__getitem__, pieces))
-            for p in fresh:
-                if len(p) > self.max_piece_chars:
-                    del memory[p]
+            groups: dict[tuple[str, bytes], list[bytes]] = {}
+            order = []
+            for t in texts[a:b]:
+                data, *how = folded(t)
+                groups.setdefault(tuple(how), []).append(data)
+                order.append(tuple(how))
+            done = {how: self._of_kind(some, *how) for how, some in groups.items()}
+            for how in order:
+                yield next(done[how])
 
 
 def _little_endian(ids: list[int]) -> bytes:

@@ -173,6 +173,37 @@ def test_word_pieces_equal_whole_text_encoding():
     assert own == [e.ids for e in encoder.library.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_pieces_beside_wide_characters_equal_whole_text_encoding():
+    r = random.Random(4)
+    vocabulary = open(public_tokenizers.path("word_bpe_49k.json"), "rb").read()
+    some = "aJ'sé.É,1 \n\t\r\v\f\x1c\x85\xa0<|>=`x×÷\u0301\u0307\u030c\u0338\u2019\u3000İſ日가ᄀ🚀"
+    table = ["".join(r.choice(some[:n]) for _ in range(r.randint(0, 60))) for n in (27, len(some)) for _ in range(1500)]
+    table += ["a" * 5_000 + "1," * 5_000, "İ'll don’t<|endoftext|>Don’t", "J\u030c a<\u0338b"]
+    for kept in (100, 600_000):  # with the smaller one, pieces pass between the generations
+        encoder = token_files.WordEncoder(vocabulary, max_pieces=kept)
+        own = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(table), 300) for x in encoder.batch(table[i:i + 300])]
+        assert own == [e.ids for e in encoder.library.encode_batch(table, add_special_tokens=False)]
+        assert max(map(len, encoder.memory)) <= encoder.max_piece_chars
+
+
+def test_new_words_go_to_the_library_many_at_a_time():
+    r = random.Random(8)
+    words = list(dict.fromkeys("".join(r.choice("abcdefgéß") for _ in range(9)) for _ in range(4000)))
+    encoder = token_files.WordEncoder(open(public_tokenizers.path("word_bpe_49k.json"), "rb").read())
+    library, calls = encoder.library, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.library = Counted()
+    table = [" ".join(words[i:i + 40]) + ". " + " ".join(words[:40]) + "." for i in range(0, len(words), 40)]
+    own = [np.frombuffer(x, "<u4").tolist() for x in encoder.batch(table)]
+    assert own == [e.ids for e in library.encode_batch(table, add_special_tokens=False)]
+    assert len(calls) < len(words) // 50
+
+
 # ---------------------------------------------------------------- 3: near dedup
 
 def brute_components(texts: dict[int, str], share=85) -> tuple[dict[int, int], dict[int, int]]:
